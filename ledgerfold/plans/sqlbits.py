@@ -81,7 +81,7 @@ def history_labels_sql(actions: str, threshold: float = 5.0, fallback: float = 1
                        min_rate: float = 0.05) -> str:
     """Full history labelling (before the usable filter) as a sub-select."""
     return f"""
-    SELECT *, CASE WHEN rate < {min_rate} THEN {fallback} ELSE {threshold} END AS threshold_used,
+    SELECT *, CASE WHEN rate < {min_rate} THEN CAST({fallback} AS DOUBLE) ELSE CAST({threshold} AS DOUBLE) END AS threshold_used,
       CASE WHEN cost_growth_pct IS NOT NULL THEN CAST(cost_growth_pct > CASE WHEN rate < {min_rate} THEN {fallback} ELSE {threshold} END AS INTEGER) END AS over_budget
     FROM (
       SELECT *, avg(CASE WHEN cost_growth_pct IS NOT NULL THEN CAST(cost_growth_pct > {threshold} AS DOUBLE) END) OVER () AS rate
