@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import casts, scalars
+from ledgerfold.session import materialize
 
 
 @dataclass(frozen=True)
@@ -171,15 +172,19 @@ def fold_baseline(actions: DataFrame, spec: LabelSpec) -> DataFrame:
 
 
 def with_adaptive_label(df: DataFrame, value_col: str, label_col: str, spec: LabelSpec,
-                        keep_null: bool) -> DataFrame:
+                        keep_null: bool, materialize_input: bool = True) -> DataFrame:
     """A10 + C10/C11: label at the primary threshold; if the positive rate is
     below ``min_positive_rate`` relabel at the fallback.
 
     History variant: rate over rows with a value (NULL stays NULL). Baseline
     variant: NULL counts as 0 in the rate. The rate is one global aggregate,
-    cross-joined as a one-row broadcast (its size is fixed at one row).
+    cross-joined as a one-row broadcast (its size is fixed at one row). The
+    input (the per-contract fold) is materialised first so the fold runs once
+    for both consumers.
     """
     lab = scalars.label_keep_null if keep_null else scalars.label_null_zero
+    if materialize_input:
+        df = materialize(df)
     rate = df.agg(F.avg(lab(value_col, spec.threshold).cast("double")).alias("_rate"))
     thr = (F.when(F.col("_rate") < F.lit(spec.min_positive_rate), F.lit(spec.fallback))
            .otherwise(F.lit(spec.threshold)))

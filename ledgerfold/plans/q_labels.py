@@ -14,6 +14,7 @@ from ledgerfold.plans.sqlbits import (MOD_KEY, PREFIX_RULE, USABLE, WHOLE_RULE,
 from ledgerfold.sources import bindings
 
 HISTORY_COLS = ["description", "base_all_options", "base_exercised_options", "current_completion_date",
+                "effective_date",
                 "contract_type", "extent_competed", "num_offers", "agency_id", "vendor_name", "psc",
                 "reason_for_mod"]
 

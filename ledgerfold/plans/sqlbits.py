@@ -63,6 +63,7 @@ def history_fold_sql(actions: str) -> str:
       arg_min(description, ord) AS description,
       arg_min(base_all_options, ord) AS initial_cost,
       arg_min(current_completion_date, ord) AS initial_completion_date,
+      arg_min(effective_date, ord) AS effective_date,
       arg_min(contract_type, ord) AS contract_type,
       arg_min(extent_competed, ord) AS competition,
       arg_min(num_offers, ord) AS num_offers,

@@ -64,3 +64,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` to the shared checkpoint folder and read it back.
+
+    Used where one derived table feeds several consumers (e.g. the contract
+    fold feeds both the global positive rate and the labels) so the upstream
+    scan + shuffle runs once, and a lost executor re-reads files instead of
+    recomputing the lineage. Never a machine-local cache.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
