@@ -6,7 +6,7 @@ import importlib
 
 from ledgerfold.plans.registry import ORACLE, QUERIES
 
-_MODULES = ["q_labels", "q_quality"]
+_MODULES = ["q_labels", "q_quality", "q_text"]
 for _m in _MODULES:
     importlib.import_module(f"ledgerfold.plans.{_m}")
 
