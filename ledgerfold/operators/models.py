@@ -1,0 +1,119 @@
+"""Feature configs, classifiers and their evaluation.
+
+Fits are distributed Spark ML estimators; the driver only loops over the
+small grid of (target, config, algorithm). Assembled feature tables are
+materialised once per config and reused across targets, folds and models.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerfold.operators import evaluate as ev
+from ledgerfold.operators import sampling
+
+SMOTE_TRIGGER = 0.15
+SMOTE_RATIO = 0.3
+
+
+def dense_from_long(weights: DataFrame, key: str, term: str, value: str, vocab: list[str]) -> DataFrame:
+    """(key, term, value) rows → dense array in vocabulary order; absent terms are 0."""
+    spark = weights.sparkSession
+    idx = spark.createDataFrame(list(enumerate(vocab)), f"_i int, {term} string")  # bounded vocabulary
+    m = (weights.join(F.broadcast(idx), term)
+                .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_i", value))).alias("_m")))
+    n = len(vocab)
+    return m.select(key, F.transform(F.sequence(F.lit(0), F.lit(max(n - 1, 0))),
+                                     lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias("arr"))
+
+
+def assemble(df: DataFrame, array_cols: list[str], out: str = "features") -> DataFrame:
+    """Concatenate array feature blocks into one ML vector."""
+    cat = F.concat(*[F.col(c) for c in array_cols]) if len(array_cols) > 1 else F.col(array_cols[0])
+    return df.withColumn(out, array_to_vector(cat))
+
+
+def _algo(name: str, label: str, n_train: int, weight: str | None):
+    if name == "LogisticRegression":
+        # sklearn C=1 with L2 ≙ regParam = 1/(C·n)
+        lr = LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=1000, regParam=1.0 / max(n_train, 1),
+                                elasticNetParam=0.0, standardization=False)
+        return lr.setWeightCol(weight) if weight else lr
+    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=100, maxDepth=15, seed=42)
+    return rf.setWeightCol(weight) if weight else rf
+
+
+def fit_score(train: DataFrame, test: DataFrame, label: str, algorithm: str):
+    """M12 + M18 + M19/M20: scale (LR), balanced weights, fit; returns (model, scored test)."""
+    train = sampling.with_weights(train.withColumn(label, F.col(label).cast("double")), label, "w")
+    test = test.withColumn(label, F.col(label).cast("double"))
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True).fit(train)
+    tr, te = scaler.transform(train), scaler.transform(test)
+    n = tr.count()
+    model = _algo(algorithm, label, n, "w").fit(tr)
+    scored = model.transform(te).withColumn("score", vector_to_array("probability")[1])
+    return model, scored
+
+
+def metrics(scored: DataFrame, label: str) -> DataFrame:
+    """M22–M25 + default-threshold metrics of one scored test set (one row)."""
+    s = scored.withColumn("_t", F.lit("all"))
+    cv = ev.curve(s, ["_t"], label, "score")
+    thr = ev.f1_threshold(cv, ["_t"])
+    auc = ev.roc_auc(cv, ["_t"])
+    ap = ev.average_precision(cv, ["_t"])
+    d = ev.confusion(s, ["_t"], label, "score", 0.5).select(
+        "_t", F.col("f1").alias("f1_default_threshold"), F.col("precision").alias("precision_default"),
+        F.col("recall").alias("recall_default"))
+    tuned = s.join(F.broadcast(thr.select("_t", "best_threshold")), "_t")
+    pred = F.col("score") >= F.col("best_threshold")
+    y = F.col(label) == 1
+    c = tuned.groupBy("_t").agg(F.count_if(y & pred).alias("tp"), F.count_if(~y & pred).alias("fp"),
+                                F.count_if(y & ~pred).alias("fn"))
+    c = c.select("_t", F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0).alias("precision"),
+                 F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0).alias("recall"))
+    c = c.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
+                                  2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+    return (c.join(auc, "_t").join(ap.withColumnRenamed("average_precision", "avg_precision"), "_t")
+             .join(thr.select("_t", "best_threshold"), "_t").join(d, "_t").drop("_t"))
+
+
+def grid_search_lr(train: DataFrame, label: str, folds: int = 3, parallelism: int = 4):
+    """C ∈ {0.1, 1, 10} × {L1, L2} by positive-class F1, k-fold CV."""
+    train = train.withColumn(label, F.col(label).cast("double"))
+    n = train.count()
+    lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=200)
+    grid = (ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n) for c in (0.1, 1.0, 10.0)])
+            .addGrid(lr.elasticNetParam, [1.0, 0.0]).build())
+    evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds, seed=42,
+                        parallelism=parallelism)
+    return cv.fit(train), grid
+
+
+def grid_search_rf(train: DataFrame, label: str, folds: int = 3, parallelism: int = 4):
+    """Depth {10, 20, 30(≈unbounded)} × min leaf {1, 5}."""
+    train = train.withColumn(label, F.col(label).cast("double"))
+    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=50, seed=42)
+    grid = (ParamGridBuilder().addGrid(rf.maxDepth, [10, 20, 30]).addGrid(rf.minInstancesPerNode, [1, 5]).build())
+    evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
+    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds, seed=42,
+                        parallelism=parallelism)
+    return cv.fit(train), grid
+
+
+def feature_names(df: DataFrame, col: str = "features") -> list[str]:
+    """Names from VectorAssembler metadata, else positional names."""
+    meta = df.schema[col].metadata.get("ml_attr", {}).get("attrs", {})
+    names = {}
+    for group in meta.values():
+        for a in group:
+            names[a["idx"]] = a["name"]
+    size = df.schema[col].metadata.get("ml_attr", {}).get("num_attrs", len(names))
+    return [names.get(i, f"f{i}") for i in range(size)]

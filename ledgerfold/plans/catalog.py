@@ -6,7 +6,7 @@ import importlib
 
 from ledgerfold.plans.registry import ORACLE, QUERIES
 
-_MODULES = ["q_labels", "q_quality", "q_text", "q_vectors", "q_features", "q_eval", "q_linkage"]
+_MODULES = ["q_labels", "q_quality", "q_text", "q_vectors", "q_features", "q_eval", "q_linkage", "q_models"]
 for _m in _MODULES:
     importlib.import_module(f"ledgerfold.plans.{_m}")
 
