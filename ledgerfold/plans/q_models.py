@@ -32,9 +32,14 @@ K_TOPICS = 12
 
 
 def _lda(spark, sf_dir, k=K_TOPICS):
-    ta = track_a(spark, sf_dir)
-    cvm, vecs = topics.bow_vectors(ta, "tokens", 15, 0.5)
-    return cvm, vecs, topics.fit_lda(vecs, k=k)
+    """Fitted once per (session, data folder, K): several queries read the same model."""
+    key = ("lda", spark.sparkContext.applicationId, sf_dir, k)
+    if key not in _CACHE:
+        ta = track_a(spark, sf_dir)
+        cvm, vecs = topics.bow_vectors(ta, "tokens", 15, 0.5)
+        vecs = materialize(vecs)
+        _CACHE[key] = (cvm, vecs, topics.fit_lda(vecs, k=k))
+    return _CACHE[key]
 
 
 def feature_table(spark, sf_dir):
@@ -84,7 +89,7 @@ def _maybe_smote(train, target):
 
 def _run_grid(spark, sf_dir, algorithm):
     ft = feature_table(spark, sf_dir)
-    rows = []
+    rows: list[dict] = []
     for target in TARGETS:
         split = sampling.stratified_split(ft.select("doc_id", target), "doc_id", target, 0.2, 42).select("doc_id", "is_test")
         for config in CONFIGS:
@@ -94,16 +99,19 @@ def _run_grid(spark, sf_dir, algorithm):
             train = models.assemble(train, ["arr"])
             test = models.assemble(test.withColumn("doc_id", F.col("doc_id").cast("string")), ["arr"])
             _, scored = models.fit_score(train, test, target, algorithm)
-            m = models.metrics(scored, target)
-            counts = train.agg(F.count(F.lit(1)).alias("n_train"), F.sum(target).cast("bigint").alias("n_pos_train")) \
-                .crossJoin(test.agg(F.count(F.lit(1)).alias("n_test"), F.sum(target).cast("bigint").alias("n_pos_test")))
-            rows.append(m.crossJoin(counts).select(F.lit(target).alias("target"), F.lit(config).alias("config"),
-                                                   F.lit(algorithm).alias("algorithm"), "*",
-                                                   F.lit(smoted).alias("smote_applied")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return rounded(out)
+            m = models.metrics(scored, target).first().asDict()  # one metrics row per fit
+            c = train.agg(F.count(F.lit(1)).alias("n_train"), F.sum(target).cast("bigint").alias("n_pos_train")).first()
+            t = test.agg(F.count(F.lit(1)).alias("n_test"), F.sum(target).cast("bigint").alias("n_pos_test")).first()
+            rows.append({"target": target, "config": config, "algorithm": algorithm, **m, **c.asDict(),
+                         **t.asDict(), "smote_applied": smoted})
+    cols = ["target", "config", "algorithm", "precision", "recall", "f1", "auc", "avg_precision", "best_threshold",
+            "f1_default_threshold", "precision_default", "recall_default", "n_train", "n_test", "n_pos_train",
+            "n_pos_test", "smote_applied"]
+    schema = ("target string, config string, algorithm string, precision double, recall double, f1 double, auc double, "
+              "avg_precision double, best_threshold double, f1_default_threshold double, precision_default double, "
+              "recall_default double, n_train bigint, n_test bigint, n_pos_train bigint, n_pos_test bigint, "
+              "smote_applied boolean")
+    return rounded(spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], schema))
 
 
 @query("lr_grid")
@@ -126,16 +134,17 @@ def cv_oversampled(spark, sf_dir):
     for target in TARGETS:
         rows = _config_rows(ft, "structured", target)
         folds = sampling.stratified_folds(rows, "doc_id", target, 5, 42)
-        per = None
+        fold_rows = []
         for k in range(5):
             train, test = folds.filter(F.col("fold") != k).drop("fold"), folds.filter(F.col("fold") == k).drop("fold")
             train, _ = _maybe_smote(train, target)
             _, scored = models.fit_score(models.assemble(train, ["arr"]),
                                          models.assemble(test.withColumn("doc_id", F.col("doc_id").cast("string")), ["arr"]),
                                          target, "LogisticRegression")
-            m = models.metrics(scored, target).select(F.lit(k).alias("fold"), "f1", "auc", "precision", "recall",
-                                                      F.col("best_threshold").alias("threshold"))
-            per = m if per is None else per.unionByName(m)
+            m = models.metrics(scored, target).first()  # one metrics row per fold
+            fold_rows.append((k, m["f1"], m["auc"], m["precision"], m["recall"], m["best_threshold"]))
+        per = spark.createDataFrame(fold_rows, "fold int, f1 double, auc double, precision double, recall double, "
+                                               "threshold double")
         s = per.groupBy().agg(F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_std"),
                               F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"),
                               F.avg("precision").alias("precision_mean"), F.avg("recall").alias("recall_mean"),
@@ -215,8 +224,8 @@ def ml_tfidf_select(spark, sf_dir):
         SQLTransformer(statement="SELECT *, concat(u, bi) AS terms FROM __THIS__"),
         CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=500, minDF=10.0, maxDF=0.5),
         IDF(inputCol="tf", outputCol="tfidf"),
-        UnivariateFeatureSelector(featuresCol="tfidf", labelCol="y", outputCol="sel", selectionMode="numTopFeatures",
-                                  featureType="continuous", labelType="categorical").setSelectionThreshold(100),
+        UnivariateFeatureSelector(featuresCol="tfidf", labelCol="y", outputCol="sel", selectionMode="numTopFeatures")
+        .setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(100),
     ])
     m = pipe.fit(d)
     vocab = m.stages[3].vocabulary
