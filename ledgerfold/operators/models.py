@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.operators import evaluate as ev
 from ledgerfold.operators import sampling
+from ledgerfold.session import materialize
 
 SMOTE_TRIGGER = 0.15
 SMOTE_RATIO = 0.3
@@ -42,8 +43,8 @@ def assemble(df: DataFrame, array_cols: list[str], out: str = "features") -> Dat
 def _algo(name: str, label: str, n_train: int, weight: str | None):
     if name == "LogisticRegression":
         # sklearn C=1 with L2 ≙ regParam = 1/(C·n)
-        lr = LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=1000, regParam=1.0 / max(n_train, 1),
-                                elasticNetParam=0.0, standardization=False)
+        lr = LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=1000, tol=1e-4,
+                                regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False)
         return lr.setWeightCol(weight) if weight else lr
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=100, maxDepth=15, seed=42)
     return rf.setWeightCol(weight) if weight else rf
@@ -51,7 +52,7 @@ def _algo(name: str, label: str, n_train: int, weight: str | None):
 
 def fit_score(train: DataFrame, test: DataFrame, label: str, algorithm: str):
     """M12 + M18 + M19/M20: scale (LR), balanced weights, fit; returns (model, scored test)."""
-    train = sampling.with_weights(train.withColumn(label, F.col(label).cast("double")), label, "w")
+    train = materialize(sampling.with_weights(train.withColumn(label, F.col(label).cast("double")), label, "w"))
     test = test.withColumn(label, F.col(label).cast("double"))
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True).fit(train)
     tr, te = scaler.transform(train), scaler.transform(test)
@@ -88,7 +89,7 @@ def grid_search_lr(train: DataFrame, label: str, folds: int = 3, parallelism: in
     """C ∈ {0.1, 1, 10} × {L1, L2} by positive-class F1, k-fold CV."""
     train = train.withColumn(label, F.col(label).cast("double"))
     n = train.count()
-    lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=200)
+    lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=1000, tol=1e-4)
     grid = (ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n) for c in (0.1, 1.0, 10.0)])
             .addGrid(lr.elasticNetParam, [1.0, 0.0]).build())
     evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)

@@ -215,3 +215,38 @@ def retention_by_group(spark, sf_dir):
     a = bindings.actions(spark, sf_dir, ["psc", "current_completion_date"])
     return rounded(quality.retention_by_group(a, F.date_format("current_completion_date", "yyyy"),
                                               filters.is_physical_prefix("psc")))
+
+
+@query("summary_long", f"""
+SELECT * FROM (
+  SELECT 'run' AS section, 'n_actions' AS metric, CAST(count(*) AS DOUBLE) AS value FROM ({actions_sql(['psc'])}) a
+  UNION ALL SELECT 'run', 'n_after_psc_filter', CAST(count(*) FILTER (WHERE {PREFIX_RULE}) AS DOUBLE) FROM ({actions_sql(['psc'])}) a
+  UNION ALL SELECT 'run', 'n_final', CAST(count(*) AS DOUBLE) FROM {L} t
+  UNION ALL SELECT 'run', 'threshold_used', max(threshold_used) FROM {L} t
+  UNION ALL SELECT 'class_balance', 'over_budget_rate', round(avg(over_budget), 6) FROM {L} t
+  UNION ALL SELECT 'class_balance', 'late_rate', round(avg(late), 6) FROM {L} t
+  UNION ALL SELECT 'text_quality', 'mean_description_length', round(avg(COALESCE(length(description), 0)), 6) FROM {L} t
+  UNION ALL SELECT 'text_quality', 'pct_description_lt_50', round(avg(CAST(COALESCE(length(description), 0) < 50 AS DOUBLE)) * 100, 6) FROM {L} t
+) s""")
+def summary_long(spark, sf_dir):
+    """Run metadata, class balance and text quality as (section, metric, value) rows."""
+    a = bindings.actions(spark, sf_dir, ["psc"])
+    lab = labelled_history(spark, sf_dir)
+    L_ = F.coalesce(F.length("description"), F.lit(0))
+
+    # aggregate expressions inside the array: one pass per source table
+    ra = a.agg(F.count(F.lit(1)).alias("n"), F.count_if(filters.is_physical_prefix("psc")).alias("k"))
+    ra = ra.select(F.explode(F.array(F.struct(F.lit("run").alias("section"), F.lit("n_actions").alias("metric"),
+                                              F.col("n").cast("double").alias("value")),
+                                     F.struct(F.lit("run").alias("section"), F.lit("n_after_psc_filter").alias("metric"),
+                                              F.col("k").cast("double").alias("value"))))
+                   .alias("x")).select("x.*")
+    rl = lab.agg(F.count(F.lit(1)).alias("n"), F.max("threshold_used").alias("t"), F.avg("over_budget").alias("ob"),
+                 F.avg("late").alias("lt"), F.avg(L_).alias("ml"), (F.avg((L_ < 50).cast("double")) * 100).alias("p50"))
+    items = [("run", "n_final", "n"), ("run", "threshold_used", "t"), ("class_balance", "over_budget_rate", "ob"),
+             ("class_balance", "late_rate", "lt"), ("text_quality", "mean_description_length", "ml"),
+             ("text_quality", "pct_description_lt_50", "p50")]
+    rl = rl.select(F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(m).alias("metric"),
+                                                F.col(c).cast("double").alias("value")) for s, m, c in items]))
+                   .alias("x")).select("x.*")
+    return rounded(ra.unionByName(rl))
