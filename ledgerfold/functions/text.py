@@ -61,16 +61,23 @@ def alpha_tokens(text) -> Column:
 
 
 def topic_tokens(text, stop_words=TOPIC_STOP_WORDS) -> Column:
-    """T3+T5: lower, [^a-z0-9\\s]→space, collapse; <3 chars → []; keep alphabetic
-    tokens longer than 2 that are not stop words (digits/number-like are dropped).
+    """T3+T5: lower, [^a-z0-9\\s]→space, collapse; keep alphabetic tokens longer than 2
+    that are not stop words (tokens with digits – number-like – are dropped).
 
-    The lemmatiser of the reference is not rebuilt (no lexicon): forms stay as they are.
+    The reference's "< 3 characters → []" rule needs no branch: a shorter
+    string has no token longer than 2. The lemmatiser of the reference is not
+    rebuilt (no lexicon): forms stay as they are.
     """
-    s = F.trim(F.regexp_replace(
-        F.regexp_replace(F.lower(F.coalesce(_c(text), F.lit(""))), r"[^a-z0-9\s]", " "), r"\s+", " "))
-    toks = F.split(s, " ")
-    keep = F.filter(toks, lambda t: (F.length(t) > 2) & t.rlike("^[a-z]+$") & ~t.isin(*stop_words))
-    return F.when(F.length(s) < 3, F.array().cast("array<string>")).otherwise(keep)
+    s = F.regexp_replace(F.lower(F.coalesce(_c(text), F.lit(""))), r"[^a-z0-9\s]", " ")
+    toks = _words(s)
+    no_digit = lambda t: F.length(F.translate(t, "0123456789", "")) == F.length(t)
+    return F.filter(toks, lambda t: (F.length(t) > 2) & no_digit(t) & ~t.isin(*stop_words))
+
+
+def has_light_token(text) -> Column:
+    """True when ``light_tokens(text)`` is non-empty: a run of 3+ a–z letters after lower-casing
+    (one regex find, no tokenisation)."""
+    return F.coalesce(F.lower(_c(text)).rlike("[a-z]{3}"), F.lit(False))
 
 
 def remove_stops(tokens, stop_words=ENGLISH_STOP_WORDS) -> Column:

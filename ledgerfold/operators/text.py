@@ -48,7 +48,7 @@ def tfidf_corpus(docs: DataFrame, key: str, text_col: str) -> DataFrame:
 
 
 def tfidf(corpus: DataFrame, key: str, tokens_col: str = "tokens", max_features: int = 500, min_df: int = 10,
-          max_df: float = 0.5, stop_words=tx.ENGLISH_STOP_WORDS) -> DataFrame:
+          max_df: float = 0.5, stop_words=tx.ENGLISH_STOP_WORDS, n_docs: DataFrame | None = None) -> DataFrame:
     """(key, term, weight) with weight = tf·(ln((1+N)/(1+df))+1), rows L2-normalised.
 
     Terms: uni+bigrams after stop removal; vocabulary: min_df ≤ df ≤ max_df·N,
@@ -58,7 +58,7 @@ def tfidf(corpus: DataFrame, key: str, tokens_col: str = "tokens", max_features:
     kept = corpus.select(key, tx.remove_stops(tokens_col, stop_words).alias("u"))
     terms = kept.select(key, tx.uni_bigrams(F.col("u")).alias("terms"))
     tc = term_counts(terms, key, "terms")
-    n_docs = corpus.agg(F.count(F.lit(1)).alias("n_docs"))
+    n_docs = n_docs if n_docs is not None else corpus.agg(F.count(F.lit(1)).alias("n_docs"))
     d = doc_frequency(tc, key).crossJoin(F.broadcast(n_docs))
     vocab = (d.filter((F.col("df") >= min_df) & (F.col("df") <= F.col("n_docs") * max_df))
               .orderBy(F.desc("cf"), "term").limit(max_features)
@@ -69,9 +69,13 @@ def tfidf(corpus: DataFrame, key: str, tokens_col: str = "tokens", max_features:
     return w.select(key, "term", "tf", (F.col("raw") / norm).alias("weight"))
 
 
-def tfidf_top_terms(weights: DataFrame, corpus: DataFrame, k: int = 20) -> DataFrame:
+def corpus_size(docs: DataFrame, text_col: str) -> DataFrame:
+    """N of the Track B corpus (documents with a light token) without tokenising: one row."""
+    return docs.filter(tx.has_light_token(text_col)).agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def tfidf_top_terms(weights: DataFrame, n_docs: DataFrame, k: int = 20) -> DataFrame:
     """Mean weight per term over all corpus documents (absent = 0), top k."""
-    n_docs = corpus.agg(F.count(F.lit(1)).alias("n_docs"))
     return (weights.groupBy("term").agg(F.sum("weight").alias("s")).crossJoin(F.broadcast(n_docs))
                    .select("term", (F.col("s") / F.col("n_docs")).alias("mean_weight"))
                    .orderBy(F.desc("mean_weight"), "term").limit(k))

@@ -56,8 +56,9 @@ def feature_table(spark, sf_dir):
         F.log1p(F.col("n_chars").cast("double")),
         F.log1p(F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("double")),
         *[F.col(c).cast("double") for c in onehots]).alias("A"))
-    corpus, w = ot.tfidf_corpus(bindings.table(spark, sf_dir, "documents"), "doc_id", "text"), None
-    w = ot.tfidf(corpus, "doc_id", "tokens", 500, 10, 0.5)
+    dd = bindings.table(spark, sf_dir, "documents")
+    corpus = ot.tfidf_corpus(dd, "doc_id", "text")
+    w = ot.tfidf(corpus, "doc_id", "tokens", 500, 10, 0.5, n_docs=ot.corpus_size(dd, "text"))
     vocab = [r[0] for r in w.select("term").distinct().orderBy("term").collect()]  # ≤ 500 terms
     b = models.dense_from_long(w, "doc_id", "term", "weight", vocab).withColumnRenamed("arr", "B")
     _, vecs, lda = _lda(spark, sf_dir)
@@ -310,8 +311,9 @@ SELECT term, round(CASE WHEN ssw > 0 THEN (ssb / (k - 1)) / (ssw / (n - k)) END,
 FROM f QUALIFY rank <= 100""")
 def anova_f_terms(spark, sf_dir):
     """M11 (SQL form): one-way ANOVA F of each TF-IDF term against quality (absent = 0), top 100."""
-    corpus, w = ot.tfidf_corpus(bindings.table(spark, sf_dir, "documents"), "doc_id", "text"), None
-    w = ot.tfidf(corpus, "doc_id", "tokens", 500, 10, 0.5)
+    dd = bindings.table(spark, sf_dir, "documents")
+    corpus = ot.tfidf_corpus(dd, "doc_id", "text")
+    w = ot.tfidf(corpus, "doc_id", "tokens", 500, 10, 0.5, n_docs=ot.corpus_size(dd, "text"))
     lab = corpus.select("doc_id").join(bindings.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
     cls = lab.groupBy("y").agg(F.count(F.lit(1)).alias("n_c"))  # one row per class
     terms = w.select("term").distinct()

@@ -8,6 +8,7 @@ from ledgerfold.functions import text as tx
 from ledgerfold.operators import text as ot
 from ledgerfold.plans.common import rounded
 from ledgerfold.plans.registry import query
+from ledgerfold.session import materialize
 from ledgerfold.sources import bindings
 
 
@@ -116,7 +117,7 @@ FROM (SELECT doc_id, unnest(tokens) AS term FROM {_TRACK_A_SQL} a) u SEMI JOIN {
 GROUP BY doc_id, term""")
 def bag_of_words(spark, sf_dir):
     """(doc, term, count) over the filtered topic vocabulary."""
-    ta = track_a(spark, sf_dir)
+    ta = materialize(track_a(spark, sf_dir))  # two consumers: vocabulary and counts
     return ot.bag_of_words(ta, "doc_id", "tokens", ot.vocab_filter(ta, "doc_id", "tokens", 15, 0.5)) \
         .select("doc_id", "term", F.col("count").cast("bigint").alias("count"))
 
@@ -133,8 +134,10 @@ w AS (SELECT doc_id, term, tf, tf * (ln((1 + n_docs) / (1 + df)) + 1) AS raw FRO
 
 
 def _tfidf(spark, sf_dir):
-    corpus = ot.tfidf_corpus(docs(spark, sf_dir), "doc_id", "text")
-    return corpus, ot.tfidf(corpus, "doc_id", "tokens", max_features=500, min_df=10, max_df=0.5)
+    d = docs(spark, sf_dir)
+    corpus = ot.tfidf_corpus(d, "doc_id", "text")
+    n = ot.corpus_size(d, "text")
+    return n, ot.tfidf(corpus, "doc_id", "tokens", max_features=500, min_df=10, max_df=0.5, n_docs=n)
 
 
 @query("tfidf_sql", _TFIDF_SQL + """
@@ -151,8 +154,8 @@ SELECT term, round(sum(weight) / max(n_docs), 6) AS mean_weight FROM nw, n GROUP
 ORDER BY sum(weight) / max(n_docs) DESC, term LIMIT 20""")
 def tfidf_top_terms(spark, sf_dir):
     """Top 20 terms by mean TF-IDF weight over the corpus."""
-    corpus, w = _tfidf(spark, sf_dir)
-    return rounded(ot.tfidf_top_terms(w, corpus, 20))
+    n, w = _tfidf(spark, sf_dir)
+    return rounded(ot.tfidf_top_terms(w, n, 20))
 
 
 @query("tfidf_density", _TFIDF_SQL + """
@@ -160,8 +163,7 @@ SELECT CAST((SELECT n_docs FROM n) AS BIGINT) AS n_docs, CAST(count(*) AS BIGINT
        round(count(*) * 1.0 / (SELECT n_docs FROM n), 6) AS avg_nnz_per_doc FROM w""")
 def tfidf_density(spark, sf_dir):
     """Average non-zero features per document."""
-    corpus, w = _tfidf(spark, sf_dir)
-    n = corpus.agg(F.count(F.lit(1)).alias("n_docs"))
+    n, w = _tfidf(spark, sf_dir)
     return rounded(w.agg(F.count(F.lit(1)).alias("nnz")).crossJoin(n).select(
         "n_docs", "nnz", (F.col("nnz") * 1.0 / F.col("n_docs")).alias("avg_nnz_per_doc")))
 
