@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import text as tx
+from ledgerfold.session import materialize
 
 
 def term_counts(docs: DataFrame, key: str, terms_col: str) -> DataFrame:
@@ -25,19 +26,20 @@ def doc_frequency(tc: DataFrame, key: str) -> DataFrame:
 
 
 def vocab_filter(docs: DataFrame, key: str, tokens_col: str, no_below: int = 15, no_above: float = 0.5,
-                 keep_n: int = 100_000) -> DataFrame:
+                 keep_n: int = 100_000, tc: DataFrame | None = None) -> DataFrame:
     """Keep tokens with df ≥ no_below and df ≤ int(no_above·N); at most keep_n by df."""
-    tc = term_counts(docs, key, tokens_col)
+    tc = tc if tc is not None else term_counts(docs, key, tokens_col)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     d = doc_frequency(tc, key).crossJoin(F.broadcast(n_docs))
     kept = d.filter((F.col("df") >= no_below) & (F.col("df") <= F.floor(F.col("n_docs") * no_above)))
     return kept.orderBy(F.desc("df"), "term").limit(keep_n).select("term", "df")
 
 
-def bag_of_words(docs: DataFrame, key: str, tokens_col: str, vocab: DataFrame) -> DataFrame:
+def bag_of_words(docs: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
+                 tc: DataFrame | None = None) -> DataFrame:
     """(key, term, count) restricted to the vocabulary (broadcast: size ≤ keep_n)."""
-    return term_counts(docs, key, tokens_col).join(F.broadcast(vocab.select("term")), "term", "left_semi") \
-        .withColumnRenamed("tf", "count")
+    tc = tc if tc is not None else term_counts(docs, key, tokens_col)
+    return tc.join(F.broadcast(vocab.select("term")), "term", "left_semi").withColumnRenamed("tf", "count")
 
 
 def tfidf_corpus(docs: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -57,7 +59,7 @@ def tfidf(corpus: DataFrame, key: str, tokens_col: str = "tokens", max_features:
     """
     kept = corpus.select(key, tx.remove_stops(tokens_col, stop_words).alias("u"))
     terms = kept.select(key, tx.uni_bigrams(F.col("u")).alias("terms"))
-    tc = term_counts(terms, key, "terms")
+    tc = materialize(term_counts(terms, key, "terms"))  # read by the vocabulary and the weights
     n_docs = n_docs if n_docs is not None else corpus.agg(F.count(F.lit(1)).alias("n_docs"))
     d = doc_frequency(tc, key).crossJoin(F.broadcast(n_docs))
     vocab = (d.filter((F.col("df") >= min_df) & (F.col("df") <= F.col("n_docs") * max_df))

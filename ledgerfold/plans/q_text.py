@@ -117,8 +117,10 @@ FROM (SELECT doc_id, unnest(tokens) AS term FROM {_TRACK_A_SQL} a) u SEMI JOIN {
 GROUP BY doc_id, term""")
 def bag_of_words(spark, sf_dir):
     """(doc, term, count) over the filtered topic vocabulary."""
-    ta = materialize(track_a(spark, sf_dir))  # two consumers: vocabulary and counts
-    return ot.bag_of_words(ta, "doc_id", "tokens", ot.vocab_filter(ta, "doc_id", "tokens", 15, 0.5)) \
+    ta = track_a(spark, sf_dir)
+    tc = materialize(ot.term_counts(ta, "doc_id", "tokens"))  # two consumers: vocabulary and counts
+    vocab = ot.vocab_filter(ta.select("doc_id"), "doc_id", "tokens", 15, 0.5, tc=tc)
+    return ot.bag_of_words(ta, "doc_id", "tokens", vocab, tc=tc) \
         .select("doc_id", "term", F.col("count").cast("bigint").alias("count"))
 
 
