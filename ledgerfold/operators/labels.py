@@ -177,21 +177,19 @@ def with_adaptive_label(df: DataFrame, value_col: str, label_col: str, spec: Lab
     below ``min_positive_rate`` relabel at the fallback.
 
     History variant: rate over rows with a value (NULL stays NULL). Baseline
-    variant: NULL counts as 0 in the rate. The rate is one global aggregate,
-    cross-joined as a one-row broadcast (its size is fixed at one row). The
+    variant: NULL counts as 0 in the rate. The rate is one global aggregate
+    used as a scalar subquery (evaluated once, inlined as a value). The
     input (the per-contract fold) is materialised first so the fold runs once
     for both consumers.
     """
     lab = scalars.label_keep_null if keep_null else scalars.label_null_zero
     if materialize_input:
         df = materialize(df)
-    rate = df.agg(F.avg(lab(value_col, spec.threshold).cast("double")).alias("_rate"))
-    thr = (F.when(F.col("_rate") < F.lit(spec.min_positive_rate), F.lit(spec.fallback))
+    rate = df.agg(F.avg(lab(value_col, spec.threshold).cast("double"))).scalar()  # one value, computed once
+    thr = (F.when(rate < F.lit(spec.min_positive_rate), F.lit(spec.fallback))
            .otherwise(F.lit(spec.threshold)))
-    return (df.crossJoin(F.broadcast(rate))
-            .withColumn("threshold_used", thr)
-            .withColumn(label_col, lab(value_col, F.col("threshold_used")))
-            .drop("_rate"))
+    return (df.withColumn("threshold_used", thr)
+              .withColumn(label_col, lab(value_col, F.col("threshold_used"))))
 
 
 def label_history(actions: DataFrame, spec: LabelSpec = LabelSpec()) -> DataFrame:

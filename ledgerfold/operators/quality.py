@@ -92,11 +92,9 @@ def histogram(df: DataFrame, col: str, n_bins: int, lo: float | None = None, hi:
     """
     x = F.col(col).cast("double")
     base = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    if lo is None or hi is None:
-        edges = base.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    else:
-        edges = df.sparkSession.range(1).select(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
-    j = base.crossJoin(F.broadcast(edges)).filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+    lo_c = base.agg(F.min("x")).scalar() if lo is None else F.lit(float(lo))
+    hi_c = base.agg(F.max("x")).scalar() if hi is None else F.lit(float(hi))
+    j = base.withColumn("lo", lo_c).withColumn("hi", hi_c).filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
     width = F.col("hi") - F.col("lo")
     b = F.when(width == 0, F.lit(1)).otherwise(
         F.least(F.floor((F.col("x") - F.col("lo")) * n_bins / width) + 1, F.lit(n_bins)))
@@ -110,9 +108,8 @@ def box_stats(df: DataFrame, col: str) -> DataFrame:
     """Quartiles, 1.5·IQR whiskers (most extreme data inside the fences), outlier count."""
     x = F.col(col).cast("double")
     base = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    q = base.agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("q")).select(
-        F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    j = base.crossJoin(F.broadcast(q))
+    q = base.agg(F.percentile("x", [0.25, 0.5, 0.75])).scalar()  # three quartiles, computed once
+    j = base.withColumn("q1", q[0]).withColumn("median", q[1]).withColumn("q3", q[2])
     lo_f = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     return j.groupBy("q1", "median", "q3").agg(

@@ -54,9 +54,9 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights n / (n_classes · n_c) per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    tot = counts.agg(F.sum("n").alias("_t"), F.count(F.lit(1)).alias("_k"))
-    return counts.crossJoin(F.broadcast(tot)).withColumn(
-        "weight", F.col("_t") / (F.col("_k") * F.col("n"))).drop("_t", "_k")
+    total = counts.agg(F.sum("n")).scalar()
+    n_classes = counts.agg(F.count(F.lit(1))).scalar()
+    return counts.withColumn("weight", total / (n_classes * F.col("n")))
 
 
 def with_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

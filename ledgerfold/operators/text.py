@@ -29,8 +29,7 @@ def vocab_filter(docs: DataFrame, key: str, tokens_col: str, no_below: int = 15,
                  keep_n: int = 100_000, tc: DataFrame | None = None) -> DataFrame:
     """Keep tokens with df ≥ no_below and df ≤ int(no_above·N); at most keep_n by df."""
     tc = tc if tc is not None else term_counts(docs, key, tokens_col)
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    d = doc_frequency(tc, key).crossJoin(F.broadcast(n_docs))
+    d = doc_frequency(tc, key).withColumn("n_docs", docs.agg(F.count(F.lit(1))).scalar())
     kept = d.filter((F.col("df") >= no_below) & (F.col("df") <= F.floor(F.col("n_docs") * no_above)))
     return kept.orderBy(F.desc("df"), "term").limit(keep_n).select("term", "df")
 
@@ -61,7 +60,7 @@ def tfidf(corpus: DataFrame, key: str, tokens_col: str = "tokens", max_features:
     terms = kept.select(key, tx.uni_bigrams(F.col("u")).alias("terms"))
     tc = materialize(term_counts(terms, key, "terms"))  # read by the vocabulary and the weights
     n_docs = n_docs if n_docs is not None else corpus.agg(F.count(F.lit(1)).alias("n_docs"))
-    d = doc_frequency(tc, key).crossJoin(F.broadcast(n_docs))
+    d = doc_frequency(tc, key).withColumn("n_docs", n_docs.select("n_docs").scalar())
     vocab = (d.filter((F.col("df") >= min_df) & (F.col("df") <= F.col("n_docs") * max_df))
               .orderBy(F.desc("cf"), "term").limit(max_features)
               .select("term", "df", "n_docs"))
@@ -78,8 +77,8 @@ def corpus_size(docs: DataFrame, text_col: str) -> DataFrame:
 
 def tfidf_top_terms(weights: DataFrame, n_docs: DataFrame, k: int = 20) -> DataFrame:
     """Mean weight per term over all corpus documents (absent = 0), top k."""
-    return (weights.groupBy("term").agg(F.sum("weight").alias("s")).crossJoin(F.broadcast(n_docs))
-                   .select("term", (F.col("s") / F.col("n_docs")).alias("mean_weight"))
+    return (weights.groupBy("term").agg(F.sum("weight").alias("s"))
+                   .select("term", (F.col("s") / n_docs.select("n_docs").scalar()).alias("mean_weight"))
                    .orderBy(F.desc("mean_weight"), "term").limit(k))
 
 

@@ -89,6 +89,13 @@ def _maybe_smote(train, target):
 
 
 def _run_grid(spark, sf_dir, algorithm):
+    key = ("grid", spark.sparkContext.applicationId, sf_dir, algorithm)
+    if key not in _CACHE:
+        _CACHE[key] = _fit_grid(spark, sf_dir, algorithm)
+    return _CACHE[key]
+
+
+def _fit_grid(spark, sf_dir, algorithm):
     ft = feature_table(spark, sf_dir)
     rows: list[dict] = []
     for target in TARGETS:
@@ -276,8 +283,8 @@ def topic_sweep(spark, sf_dir):
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    best = out.agg(F.max_by("k", F.struct("coherence", -F.col("k"))).alias("best_k"))
-    return rounded(out.crossJoin(best))
+    best = out.agg(F.max_by("k", F.struct("coherence", -F.col("k")))).scalar()
+    return rounded(out.withColumn("best_k", best))
 
 
 @query("model_lift")
@@ -315,18 +322,17 @@ def anova_f_terms(spark, sf_dir):
     corpus = ot.tfidf_corpus(dd, "doc_id", "text")
     w = ot.tfidf(corpus, "doc_id", "tokens", 500, 10, 0.5, n_docs=ot.corpus_size(dd, "text"))
     lab = corpus.select("doc_id").join(bindings.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
-    cls = lab.groupBy("y").agg(F.count(F.lit(1)).alias("n_c"))  # one row per class
-    terms = w.select("term").distinct()
-    s = w.join(lab, "doc_id").groupBy("term", "y").agg(F.sum("weight").alias("sx"), F.sum(F.col("weight") ** 2).alias("sxx"))
-    g = (terms.crossJoin(F.broadcast(cls)).join(s, ["term", "y"], "left")
-              .na.fill(0.0, ["sx", "sxx"]))
-    n = cls.agg(F.sum("n_c").alias("n"))
-    tot = g.groupBy("term").agg(F.sum("sx").alias("sx_all"))
-    g = g.join(tot, "term").crossJoin(F.broadcast(n))
-    f = g.groupBy("term").agg(
-        F.sum(F.col("n_c") * F.pow(F.col("sx") / F.col("n_c") - F.col("sx_all") / F.col("n"), 2)).alias("ssb"),
-        F.sum(F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n_c")).alias("ssw"),
-        F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    n0 = lab.agg(F.count_if(F.col("y") == 0)).scalar()
+    n1 = lab.agg(F.count_if(F.col("y") == 1)).scalar()
+    j = w.join(lab, "doc_id")
+    s = j.groupBy("term").agg(
+        F.sum(F.when(F.col("y") == 0, F.col("weight"))).alias("sx0"), F.sum(F.when(F.col("y") == 0, F.col("weight") ** 2)).alias("sxx0"),
+        F.sum(F.when(F.col("y") == 1, F.col("weight"))).alias("sx1"), F.sum(F.when(F.col("y") == 1, F.col("weight") ** 2)).alias("sxx1"))
+    f = (w.select("term").distinct().join(s, "term", "left").na.fill(0.0, ["sx0", "sxx0", "sx1", "sxx1"])
+          .withColumn("n", n0 + n1).withColumn("k", F.lit(2)))
+    m = (F.col("sx0") + F.col("sx1")) / F.col("n")
+    f = (f.withColumn("ssb", n0 * F.pow(F.col("sx0") / n0 - m, 2) + n1 * F.pow(F.col("sx1") / n1 - m, 2))
+          .withColumn("ssw", (F.col("sxx0") - F.col("sx0") * F.col("sx0") / n0) + (F.col("sxx1") - F.col("sx1") * F.col("sx1") / n1)))
     fs = F.when(F.col("ssw") > 0, (F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("n") - F.col("k"))))
     top = f.select("term", fs.alias("f_stat")).orderBy(F.desc_nulls_last("f_stat"), "term").limit(100)
     w_ = __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(F.desc_nulls_last("f_stat"), "term")

@@ -166,8 +166,9 @@ SELECT CAST((SELECT n_docs FROM n) AS BIGINT) AS n_docs, CAST(count(*) AS BIGINT
 def tfidf_density(spark, sf_dir):
     """Average non-zero features per document."""
     n, w = _tfidf(spark, sf_dir)
-    return rounded(w.agg(F.count(F.lit(1)).alias("nnz")).crossJoin(n).select(
-        "n_docs", "nnz", (F.col("nnz") * 1.0 / F.col("n_docs")).alias("avg_nnz_per_doc")))
+    nd = n.select("n_docs").scalar()
+    return rounded(w.agg(F.count(F.lit(1)).alias("nnz")).select(
+        nd.alias("n_docs"), "nnz", (F.col("nnz") * 1.0 / nd).alias("avg_nnz_per_doc")))
 
 
 @query("overlap_chunks", """
