@@ -130,24 +130,43 @@ def mod_reasons(actions: DataFrame, spec: LabelSpec = LabelSpec()) -> DataFrame:
 
 
 def fold_history(actions: DataFrame, spec: LabelSpec = LabelSpec()) -> DataFrame:
-    """A1–A5 (history): one row per piid of first/last non-null values."""
+    """A1–A5 (history): one row per piid of first/last non-null values.
+
+    One pipeline, two aggregation levels: level 1 groups by (piid, reason)
+    and keeps, per column, the (order, value) struct of its first/last
+    non-null action; level 2 merges those structs per piid, sums the counts
+    and lists the distinct reasons by their first order. Both levels combine
+    map-side; level 2 reads only one row per (contract, distinct reason).
+    """
     df = typed_actions(actions.filter(F.col("piid").isNotNull()))
-    ordc = order_key(spec, df)
-    df = df.withColumn("_ord", ordc)
-    o = F.col("_ord")
-    aggs = [F.count(F.lit(1)).alias("num_modifications")]
-    for src, dst in HISTORY_FIRST.items():
-        if src in df.columns:
-            aggs.append(_first_nonnull(src, o).alias(dst))
-    for src, dst in HISTORY_LAST.items():
-        if src in df.columns:
-            aggs.append(_last_nonnull(src, o).alias(dst))
-    if "reason_for_mod" in df.columns:
-        aggs.append(F.coalesce(F.max(F.upper("reason_for_mod").rlike(TERMINATION_PATTERN).cast("int")),
-                               F.lit(0)).alias("terminated_for_default"))
-    out = df.groupBy("piid").agg(*aggs)
-    if "reason_for_mod" in df.columns:
-        out = out.join(mod_reasons(df.drop("_ord"), spec), "piid", "left")
+    o = order_key(spec, df)
+    df = df.withColumn("_o", o)
+    fields = [f.name for f in df.schema["_o"].dataType.fields]
+    o = F.col("_o")
+    has_reason = "reason_for_mod" in df.columns
+    keys = ["piid", "reason_for_mod"] if has_reason else ["piid"]
+
+    def tagged(c):  # flat (order fields…, value) struct: cheaper to compare than a nested one
+        return F.when(F.col(c).isNotNull(), F.struct(*[o[f].alias(f) for f in fields], F.col(c).alias("v")))
+
+    firsts = [(src, dst) for src, dst in HISTORY_FIRST.items() if src in df.columns]
+    lasts = [(src, dst) for src, dst in HISTORY_LAST.items() if src in df.columns]
+    lvl1 = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(o).alias("_ro"),
+        *[F.min(tagged(src)).alias(f"_f_{dst}") for src, dst in firsts],
+        *[F.max(tagged(src)).alias(f"_l_{dst}") for src, dst in lasts])
+    aggs = [F.sum("_n").alias("num_modifications")]
+    aggs += [F.min(f"_f_{dst}")["v"].alias(dst) for _, dst in firsts]
+    aggs += [F.max(f"_l_{dst}")["v"].alias(dst) for _, dst in lasts]
+    if has_reason:
+        r = F.col("reason_for_mod")
+        aggs += [F.coalesce(F.max(F.upper(r).rlike(TERMINATION_PATTERN).cast("int")), F.lit(0)).alias("terminated_for_default"),
+                 F.array_sort(F.collect_list(F.when(r.isNotNull(), F.struct(F.col("_ro").alias("o"), r.alias("r")))))
+                 .alias("_rs")]  # one entry per distinct reason of the contract
+    out = lvl1.groupBy("piid").agg(*aggs)
+    if has_reason:
+        out = out.withColumn("all_mod_reasons", F.when(F.size("_rs") > 0, F.array_join(F.transform("_rs", lambda z: z["r"]), ", "))).drop("_rs")
+    out = out.withColumn("num_modifications", F.col("num_modifications").cast("bigint"))
     out = out.withColumn("final_cost", scalars.final_cost("final_cost_exercised", "final_cost_fallback"))
     return out.drop("final_cost_exercised", "final_cost_fallback")
 
