@@ -21,11 +21,17 @@ def is_physical_prefix(psc) -> Column:
     ``startsWith``/range disjunction that the Parquet reader can push down to
     skip row groups when psc is a raw scan column.
     """
+    return F.coalesce(_prefix_predicate(psc), F.lit(False))
+
+
+def _prefix_predicate(psc) -> Column:
+    """F1 as a bare predicate (NULL for NULL codes): a Filter drops NULL, and without the
+    coalesce wrapper the startsWith/range disjunction reaches the Parquet ``PushedFilters``."""
     p = _c(psc)
     exact = p.rlike(r"^([YyZz]|[1-9][0-9])")
     pushable = (p.startswith("Y") | p.startswith("Z") | p.startswith("y") | p.startswith("z")
                 | ((p >= F.lit("10")) & (p < F.lit(":"))))
-    return F.coalesce(pushable & exact, F.lit(False))
+    return pushable & exact
 
 
 def is_physical_whole(psc) -> Column:
@@ -40,7 +46,7 @@ def is_physical_whole(psc) -> Column:
 
 def physical_filter(df: DataFrame, rule: str = "prefix", psc_col: str = "psc") -> DataFrame:
     """Keep physical deliverables by the chosen rule ("prefix" | "whole")."""
-    pred = is_physical_prefix(psc_col) if rule == "prefix" else is_physical_whole(psc_col)
+    pred = _prefix_predicate(psc_col) if rule == "prefix" else is_physical_whole(psc_col)
     return df.filter(pred)
 
 

@@ -14,6 +14,7 @@ from functools import lru_cache
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (IDF, CountVectorizer, NGram, SQLTransformer, StopWordsRemover,
                                 UnivariateFeatureSelector)
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import text as tx
@@ -300,6 +301,33 @@ def model_lift(spark, sf_dir):
                     .withColumn("auc_lift_pct", F.when(F.col("auc_a") != 0, (F.col("auc_d") - F.col("auc_a")) / F.col("auc_a") * 100)))
 
 
+@query("score_linked")
+def score_linked(spark, sf_dir):
+    """Fit the structured LR, persist it (model + metadata) in the checkpoint folder, reload it
+    and score the documents linked to programs; report accuracy on that subset separately (A25/A26)."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+
+    from ledgerfold.operators import linkage
+    from ledgerfold.plans.q_linkage import _best
+    from ledgerfold.session import checkpoint_dir
+    from ledgerfold.sources import sinks
+    ft = feature_table(spark, sf_dir)
+    data = models.assemble(_config_rows(ft, "structured", "quality"), ["arr"]).withColumn(
+        "quality", F.col("quality").cast("double"))
+    pipe = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=False),
+                            LogisticRegression(featuresCol="scaled", labelCol="quality", maxIter=1000, tol=1e-4)])
+    path = f"{checkpoint_dir(spark)}/models/structured_quality_{spark.sparkContext.applicationId}"
+    sinks.save_model(pipe.fit(data), path, {"config": "structured", "target": "quality"})
+    model = PipelineModel.load(f"{path}/model")
+    linked = _best(spark, sf_dir).filter(F.col("match_type") != "no_match").select("doc_id").distinct()
+    scored = model.transform(data.join(linked, "doc_id", "left_semi"))
+    pred = scored.select(F.col("quality").cast("int").alias("label"),
+                         (vector_to_array("probability")[1] >= 0.5).cast("int").alias("predicted"))
+    return rounded(linkage.agreement(pred, "label", "predicted"))
+
+
 # ---- exact SQL forms ------------------------------------------------------
 
 @query("anova_f_terms", _TFIDF_SQL + """,

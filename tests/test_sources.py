@@ -82,3 +82,21 @@ def test_program_json_files_with_rejects(spark):
     assert [x.source_file for x in rejects.collect()] == ["gao_2024_chunk_2.json"]
     chk = programs.recompute_programs(recs).first()
     assert round(chk.growth_recomputed, 1) == 76.8 and chk.delay_recomputed == 135 and not chk.growth_disagrees
+
+
+def test_psc_prefilter_is_pushed_to_parquet(spark):
+    from ledgerfold.operators import filters
+    phys = schema.PARQUET_COLUMN_MAP
+    cols = [phys["piid"], phys["psc"], phys["description"]]
+    df = spark.createDataFrame([("A", "Y1AA", "d"), ("B", "R425", "e")], ", ".join(f"`{c}` string" for c in cols))
+    path = _tmp() + "/shard"
+    df.write.parquet(path)
+    a = schema.read_actions_parquet(spark, path).transform(filters.physical_filter, "prefix").select("piid")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    try:
+        plan = a._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "StringStartsWith" in pushed.split("]")[0] + pushed.split("]")[1]
+    assert [r.piid for r in a.collect()] == ["A"]
