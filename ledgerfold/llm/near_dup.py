@@ -10,8 +10,8 @@ similarity at the threshold keep meeting (the walk is a critical branching
 process), others part. A node ends
 
 * when all of its members are in one component already (it can add no link);
-* when few members are outside its largest component: those are compared with
-  every member, exhaustively;
+* when it is small, or few members are outside its largest component: those are
+  compared with every member, exhaustively;
 * otherwise all members are compared with one pivot, and the node branches on.
 
 Comparisons look at the signatures' agreement (a bound five and a half standard
@@ -39,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import MASK64, U64, WordHash, docs_view, map_rows, mix, shingles, signed, written
+from ledgerfold.llm.common import MASK64, U64, WordHash, docs_view, map_rows, mix, shingles, signed, slices, written
 
 COORDINATES = 128
+ENTRY = "node long, class binary, sig binary"
 WIDTH, THRESHOLD, RECALL = 5, 0.75, 0.9999
 FEW = 32  # a node with no more members outside its largest component is compared exhaustively
+SMALL = 256  # and so is a node with no more members
 
 
 def survival(threshold: float, depth: int) -> float:
@@ -65,6 +67,10 @@ def multipliers(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
+TIMES = (multipliers(COORDINATES) >> U64(32)).astype(np.uint32) | np.uint32(1)
+FLIP = (multipliers(2 * COORDINATES)[COORDINATES:] >> U64(32)).astype(np.uint32)
+
+
 def root_plan(threshold: float, trees: int) -> list[tuple[int, int]]:
     """(tree, coordinate) of all roots' children; no coordinate is used by two trees while there are enough."""
     mean, out, used = 1 / threshold, [], 0.0
@@ -76,11 +82,12 @@ def root_plan(threshold: float, trees: int) -> list[tuple[int, int]]:
 
 
 def minwise(sh: np.ndarray) -> np.ndarray:
-    """The smallest hash of the set under each coordinate's permutation."""
-    mult = multipliers(COORDINATES)
-    if len(sh) < 4096:
-        return (sh[None, :] * mult[:, None]).min(axis=1)
-    return np.array([(sh * m).min() for m in mult], dtype=U64)
+    """The element of the set that comes first under each coordinate's order (an order of the upper 32 bits)."""
+    x, first = (sh >> U64(32)).astype(np.uint32), np.empty(COORDINATES, dtype=np.int64)
+    step = max(1, (1 << 16) // len(x))
+    for a in range(0, COORDINATES, step):
+        first[a:a + step] = ((x[None, :] ^ FLIP[a:a + step, None]) * TIMES[a:a + step, None]).argmin(axis=1)
+    return sh[first]
 
 
 def _class_rows(threshold: float, trees: int, width: int):
@@ -98,10 +105,10 @@ def _class_rows(threshold: float, trees: int, width: int):
                 sh = np.unique(shingles(words_of.array(words), width))
                 out["n_shingles"].append(len(sh))
                 if len(sh):
-                    least = minwise(sh)
-                    nodes = mix(mix(least[coord_of]) + tree_of * U64(0xD6E8FEB86659FD93) + coord_of.astype(U64))
+                    token = minwise(sh)
+                    nodes = mix(mix(token[coord_of]) + tree_of * U64(0xD6E8FEB86659FD93) + coord_of.astype(U64))
                     out["roots"].append(signed(nodes))
-                    out["sig"].append((mix(least) & U64(0xFF)).astype(np.uint8).tobytes())
+                    out["sig"].append((mix(token) & U64(0xFF)).astype(np.uint8).tobytes())
                 else:
                     out["roots"].append([])
                     out["sig"].append(b"")
@@ -143,7 +150,7 @@ def _close(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, agree = [], [], []
+            a, b = [], []
             mine, sig = batch.column("class").to_pylist(), batch.column("sig").to_pylist()
             probes, probe_sigs = batch.column("probes").to_pylist(), batch.column("probe_sigs").to_pylist()
             seen = set()
@@ -157,8 +164,28 @@ def _close(least: int):
                         seen.add(pair)
                         a.append(pair[0])
                         b.append(pair[1])
-                        agree.append(int(same[k]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(agree, pa.int32())], names=["a", "b", "agree"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+    return run
+
+
+def _all_close(least: int):
+    """Rows of a small node's members -> plausible pairs between its components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = set()
+                for members in part.column("members").to_pylist():
+                    keys = [m["class"] for m in members]
+                    comps = {c: i for i, c in enumerate({m["comp"] for m in members})}
+                    comp = np.array([comps[m["comp"]] for m in members])
+                    sig = np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint8).reshape(len(keys), COORDINATES)
+                    for i in range(1, len(keys)):
+                        same = (sig[:i] == sig[i]).sum(axis=1)
+                        for j in np.flatnonzero((same >= least) & (comp[:i] != comp[i])).tolist():
+                            found.add((keys[i], keys[j]) if keys[i] < keys[j] else (keys[j], keys[i]))
+                a, b = zip(*found, strict=True) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
     return run
 
 
@@ -202,22 +229,21 @@ def components(edges: DataFrame) -> DataFrame:
     smallest neighbour, until nothing changes. Minima are taken as sums are, so
     a hub with a third of all edges is no single group.
     """
-    spark = edges.sparkSession
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    before = None
     while True:
-        # large star: from u, its larger neighbours go to the smallest of u and its neighbours
+        now = fingerprint(e)
+        if now == before or not now[0]:
+            return e.select(F.col("u").alias("member"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("member"), F.col("v").alias("comp")).distinct())
+        before = now
+        # large star: the larger neighbours of u go to the smallest of u and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: u and its smaller neighbours go to the smallest of them
-        large = written(large, "star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        small = written(small, "star")
-        before, now = fingerprint(e), fingerprint(small)
-        e = small
-        if before == now:
-            return e.select(F.col("u").alias("member"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("member"), F.col("v").alias("comp")).distinct())
+        star = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        e = written(star.filter("u <> v").distinct(), "star")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH,
@@ -243,26 +269,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         by_comp = placed.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
         nodes = by_comp.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most")).withColumn(
             "outside", F.col("n") - F.col("most.n")).filter("outside > 0")
-        nodes = written(nodes.select("node", "outside", F.col("most.comp").alias("main")), "nodes")
-        few = nodes.filter(F.col("outside") <= FEW)
-        # at most FEW members of a node are gathered
+        nodes = written(nodes.select("node", "n", "outside", F.col("most.comp").alias("main")), "nodes")
+        # nodes of SMALL members at most are gathered, each in one row
+        small = placed.join(nodes.filter(F.col("n") <= SMALL).select("node"), "node").groupBy("node").agg(
+            F.collect_list(F.struct("class", "sig", "comp")).alias("members")).select("members").mapInArrow(_all_close(least), "a binary, b binary")
+        # of large nodes, the members (FEW at most) outside the main component, or a pivot, go to all members
+        few = nodes.filter((F.col("n") > SMALL) & (F.col("outside") <= FEW)).select("node", "main")
+        big = written(placed.join(nodes.filter((F.col("n") > SMALL) & (F.col("outside") > FEW)).select("node"), "node").select("node", "class", "sig"), "big")
         probes = placed.join(few, "node").filter("comp <> main").groupBy("node").agg(F.collect_list(F.struct("class", "sig")).alias("p"))
-        order = F.xxhash64("class")
-        pivots = placed.join(nodes.filter(F.col("outside") > FEW), "node", "left_semi").groupBy("node").agg(
-            F.min(F.struct(order.alias("o"), "class", "sig")).alias("p")).select("node", F.array(F.struct("p.class", "p.sig")).alias("p"))
+        pivots = big.groupBy("node").agg(F.min(F.struct(F.xxhash64("class").alias("o"), "class", "sig")).alias("p")).select(
+            "node", F.array(F.struct("p.class", "p.sig")).alias("p"))
         probes = probes.unionByName(pivots).select("node", F.col("p.class").alias("probes"), F.col("p.sig").alias("probe_sigs"))
-        pairs = placed.select("node", "class", "sig").join(probes, "node").select("class", "sig", "probes", "probe_sigs").mapInArrow(
-            _close(least), "a binary, b binary, agree int")
-        pairs = written(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
-        if texts is None:  # at the roots: texts of every class that a later comparison can need
-            live = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(
-                placed.join(nodes.filter(F.col("outside") > FEW), "node", "left_semi").select("class")).distinct()
+        large = placed.select("node", "class", "sig").join(probes, "node").select("class", "sig", "probes", "probe_sigs").mapInArrow(
+            _close(least), "a binary, b binary")
+        pairs = written(small.unionByName(large).distinct(), "pairs")
+        first = texts is None
+        if first:  # at the roots: texts of every class that a later comparison can need
+            live = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(big.select("class")).distinct()
             texts = _texts(d, rows, live)
-        comp = _confirm(pairs, comp, texts, pct, width)
-        big = placed.join(nodes.filter(F.col("outside") > FEW), "node", "left_semi").select("node", "class", "sig")
-        grown = written(big.mapInArrow(_children(threshold), "node long, class binary, sig binary"), "children")
+        comp = _confirm(pairs, comp, texts, pct, width, first)
+        # two generations at a time
+        grown = big.mapInArrow(_children(threshold), ENTRY).mapInArrow(_children(threshold), ENTRY)
+        grown = written(grown, "children")
         alive = grown.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
-        level = written(grown.join(alive, "node", "left_semi"), "level")
+        level = written(grown.join(alive, "node"), "level")
     ids = classes.select("class", "first_id").join(comp.withColumnRenamed("member", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     low = ids.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     of = ids.join(low, "comp").select("class", "component_id")
@@ -288,33 +318,34 @@ def _texts(d: DataFrame, rows: DataFrame, live: DataFrame) -> DataFrame:
     return written(got.dropDuplicates(["class"]), "texts")
 
 
-def _confirm(pairs: DataFrame, comp: DataFrame, texts: DataFrame, pct: int, width: int) -> DataFrame:
+def _confirm(pairs: DataFrame, comp: DataFrame, texts: DataFrame, pct: int, width: int, first: bool) -> DataFrame:
     """``comp`` (member, comp) with the confirmed links of ``pairs`` taken in.
 
-    First every class with its partner of smallest hash, which ties a group
-    together by one link a member; then every pair that still joins two
-    components.
+    At the roots, where groups are tied together, every class first tries its
+    partner of smallest hash (one link a member is enough); then, and at later
+    levels at once, every pair that still joins two components is confirmed.
+    Links are contracted to links between components before they are merged.
     """
     a, b = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
 
-    def exact(p: DataFrame) -> DataFrame:
-        return written(p.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked(pct, width), "a binary, b binary"), "links")
-
-    def across(p: DataFrame) -> DataFrame:
+    def across(p: DataFrame, comp: DataFrame) -> DataFrame:
         one, two = comp.select(F.col("member").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("member").alias("b"), F.col("comp").alias("cb"))
-        return p.join(one, "a", "left").join(two, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    open_pairs = written(across(pairs), "open")
-    for chosen in ("partner", "rest"):
-        if chosen == "partner":
-            sides = open_pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(open_pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
-            best = sides.groupBy("x").agg(F.min(F.struct(F.xxhash64("y").alias("o"), "y")).alias("m")).select("x", F.col("m.y").alias("y"))
-            todo = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        else:
-            todo = across(open_pairs.join(todo, ["a", "b"], "left_anti"))
-        todo = written(todo, "todo")
-        if not todo.take(1):
-            break
-        stars = comp.select(F.col("member").alias("a"), F.col("comp").alias("b"))
-        comp = written(components(stars.unionByName(exact(todo))), "comp")
-    return comp
+        named = p.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        return named.filter("ca <> cb")
+
+    def merged(p: DataFrame, comp: DataFrame) -> DataFrame:
+        links = p.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked(pct, width), "a binary, b binary")
+        links = written(across(links, comp).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
+        moved = components(links).select(F.col("member").alias("old"), F.col("comp").alias("new"))
+        kept = comp.join(moved, comp["comp"] == moved["old"], "left").select("member", F.coalesce("new", "comp").alias("comp"))
+        fresh = moved.join(comp, moved["old"] == comp["member"], "left_anti").select(F.col("old").alias("member"), F.col("new").alias("comp"))
+        return written(kept.unionByName(fresh), "comp")
+
+    todo = written(across(pairs, comp).select("a", "b"), "open")
+    if first:
+        sides = todo.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(todo.select(F.col("b").alias("x"), F.col("a").alias("y")))
+        best = sides.groupBy("x").agg(F.min(F.struct(F.xxhash64("y").alias("o"), "y")).alias("m")).select("x", F.col("m.y").alias("y"))
+        partner = written(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "partners")
+        comp = merged(partner, comp)
+        todo = written(across(todo.join(partner, ["a", "b"], "left_anti"), comp).select("a", "b"), "open")
+    return merged(todo, comp) if todo.take(1) else comp
