@@ -100,3 +100,9 @@ def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
         h = h * U64(0x9E3779B97F4A7C15) + words[i:n - k + 1 + i]
         h = h ^ (h >> U64(29))
     return mix(h)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x

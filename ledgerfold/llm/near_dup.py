@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import MASK64, U64, WordHash, docs_view, map_rows, mix, shingles, signed, slices, written
+from ledgerfold.llm.common import MASK64, U64, WordHash, distinct, docs_view, map_rows, mix, shingles, signed, slices, written
 
 COORDINATES = 128
 ENTRY = "node long, class binary, sig binary"
@@ -102,7 +102,7 @@ def _class_rows(threshold: float, trees: int, width: int):
             for text in cols["text"]:
                 words = text.encode("utf-8").lower().split()
                 out["class"].append(hashlib.md5(b" ".join(words)).digest())
-                sh = np.unique(shingles(words_of.array(words), width))
+                sh = distinct(shingles(words_of.array(words), width))
                 out["n_shingles"].append(len(sh))
                 if len(sh):
                     token = minwise(sh)
@@ -202,7 +202,7 @@ def _linked(threshold_pct: int, width: int):
                 if held > 4_000_000:
                     known.clear()
                     held = 0
-                got = known[key] = np.unique(shingles(words_of.array(text.encode("utf-8").lower().split()), width))
+                got = known[key] = distinct(shingles(words_of.array(text.encode("utf-8").lower().split()), width))
                 held += len(got)
             return got
 
