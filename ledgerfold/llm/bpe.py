@@ -2,8 +2,8 @@
 
 Every match of the split pattern is encoded by itself. Its bytes form a linked
 list; for each pair of neighbours with a rank, the list position goes into the
-bucket of that rank. A hierarchical bitmap (64-way, one bit for a non-empty
-bucket, levels above it) gives the lowest rank present by find-first-set, so
+bucket of that rank. A hierarchical bitmap (one bit for a non-empty bucket, one
+above it for a non-empty run of buckets) gives the lowest rank present by find-first-set, so
 the next merge costs a few word operations however long the list is. Merged
 neighbours leave stale entries behind; an entry counts only if the pair now at
 its position still has the bucket's rank. Within a rank, the leftmost position
@@ -18,8 +18,8 @@ from __future__ import annotations
 
 import base64
 from heapq import heappop, heappush
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from ledgerfold.llm.common import slices
 
-REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,85 +36,72 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class RankQueue:
-    """Positions in buckets by rank; the lowest non-empty bucket is found through three levels of 64-bit words."""
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.leaf: dict[int, int] = {}
-        self.middle: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            a, b = rank >> 6, rank >> 12
-            self.leaf[a] = self.leaf.get(a, 0) | 1 << (rank & 63)
-            self.middle[b] = self.middle.get(b, 0) | 1 << (a & 63)
-            self.top |= 1 << b
-        else:
-            heappush(bucket, position)
-
-    def lowest(self) -> int:
-        """The lowest rank with an entry, -1 if there is none."""
-        if not self.top:
-            return -1
-        b = (self.top & -self.top).bit_length() - 1
-        word = self.middle[b]
-        a = b << 6 | (word & -word).bit_length() - 1
-        word = self.leaf[a]
-        return a << 6 | (word & -word).bit_length() - 1
-
-    def drop(self, rank: int) -> None:
-        del self.buckets[rank]
-        a, b = rank >> 6, rank >> 12
-        self.leaf[a] &= ~(1 << (rank & 63))
-        if not self.leaf[a]:
-            self.middle[b] &= ~(1 << (a & 63))
-            if not self.middle[b]:
-                self.top &= ~(1 << b)
+SPAN = 10  # a leaf of the bitmap covers 2 ** SPAN ranks
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one split match."""
+    """Ids of one split match.
+
+    ``buckets`` maps a rank to the positions waiting for it; ``leaf`` holds a
+    bit for each non-empty bucket, ``top`` one for each non-empty leaf. The
+    lowest set bit of ``top``, then of that leaf, is the next rank.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
+    n, get, low = len(piece), ranks.get, (1 << SPAN) - 1
     end = list(range(1, n + 1))  # end[i]: where the part that begins at i ends; 0 once it's merged into its left
     before = list(range(-1, n))
-    queue = RankQueue()
+    buckets: dict[int, list[int]] = {}
+    leaf: dict[int, int] = {}
+    top = 0
     for i in range(n - 1):
-        rank = ranks.get(piece[i:i + 2])
+        rank = get(piece[i:i + 2])
         if rank is not None:
-            queue.push(rank, i)
-    while (rank := queue.lowest()) >= 0:
-        bucket = queue.buckets[rank]
-        while bucket:
+            if rank in buckets:
+                buckets[rank].append(i)
+            else:
+                buckets[rank] = [i]
+                a = rank >> SPAN
+                leaf[a] = leaf.get(a, 0) | 1 << (rank & low)
+                top |= 1 << a
+    while top:
+        a = (top & -top).bit_length() - 1
+        word = leaf[a]
+        rank = a << SPAN | (word & -word).bit_length() - 1
+        bucket = buckets[rank]  # a heap: the leftmost position first
+        lower = False
+        while bucket and not lower:
             i = heappop(bucket)
             middle = end[i]
-            if not middle or middle >= n or ranks.get(piece[i:end[middle]]) != rank:
+            if not middle or middle >= n:
+                continue  # stale
+            stop = end[middle]
+            if get(piece[i:stop]) != rank:
                 continue  # stale
-            stop = end[i] = end[middle]
-            end[middle] = 0
-            lower = False
+            end[i], end[middle] = stop, 0
+            near = []
             if stop < n:
                 before[stop] = i
-                r = ranks.get(piece[i:end[stop]])
+                near.append((i, end[stop]))
+            if i:
+                near.append((before[i], stop))
+            for at, to in near:
+                r = get(piece[at:to])
                 if r is not None:
-                    queue.push(r, i)
+                    if r in buckets:
+                        heappush(buckets[r], at)
+                    else:
+                        buckets[r] = [at]
+                        c = r >> SPAN
+                        leaf[c] = leaf.get(c, 0) | 1 << (r & low)
+                        top |= 1 << c
                     lower |= r < rank
-            if i > 0:
-                j = before[i]
-                r = ranks.get(piece[j:stop])
-                if r is not None:
-                    queue.push(r, j)
-                    lower |= r < rank
-            if lower:
-                break
         if not bucket:
-            queue.drop(rank)
+            del buckets[rank]
+            leaf[a] &= ~(1 << (rank & low))
+            if not leaf[a]:
+                top &= ~(1 << a)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:end[i]]])
@@ -123,24 +110,73 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Ids of a split match, remembered while the table has room."""
+    """Ids (32-bit, as bytes) of a split match, remembered while the table has room."""
+
+    def __bool__(self) -> bool:
+        return True  # also while nothing is remembered
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(merge(piece.encode("utf-8"), self.ranks))
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(merge(piece.encode("utf-8"), self.ranks), dtype="<i4").tobytes()
         if len(piece) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[piece] = ids
         return ids
 
+    def packed(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, self.split(text))) if text else b""
+
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.split(text)))) if text else []
+        return np.frombuffer(self.packed(text), dtype="<i4").tolist()
+
+    def column(self, texts: pa.Array) -> pa.Array:
+        made = [self.packed(t) for t in texts.to_pylist()]
+        ends = np.cumsum([0, *(len(m) // 4 for m in made)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(made), dtype="<i4"), pa.int32()))
+
+
+class Decoder:
+    """The bytes of ids, gathered from one table of all ranks' bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        top = max(ranks.values(), default=-1) + 1
+        parts = [b""] * top
+        self.known = np.zeros(top, dtype=bool)
+        for piece, i in ranks.items():
+            parts[i], self.known[i] = piece, True
+        self.size = np.array([len(p) for p in parts], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.table = np.frombuffer(b"".join(parts), dtype=np.uint8)
 
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all()):
+            raise ValueError("an id is no rank of the vocabulary")
+        size = self.size[ids]
+        at = np.repeat(self.start[ids] - np.cumsum(size) + size, size)
+        return self.table[at + np.arange(len(at))]
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, source: str, make) -> DataFrame:
+    def column(self, lists: pa.ListArray) -> pa.Array:
+        ends = np.asarray(lists.offsets, dtype=np.int64)
+        ids = np.asarray(lists.values)[ends[0]:ends[-1]]
+        out = []
+        ends = ends - ends[0]
+        for i in range(len(lists)):  # one document at a time bounds what a very long one needs
+            out.append(self.bytes_of(ids[ends[i]:ends[i + 1]]).tobytes())
+        return pa.array(out, pa.binary())
+
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(ranks_path: str, pattern: str) -> Encoder:
+    """One encoder for each worker process, so its table outlives a task."""
+    return _ENCODERS.get((ranks_path, pattern)) or _ENCODERS.setdefault((ranks_path, pattern), Encoder(load_ranks(ranks_path), pattern))
+
+
+def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, make) -> DataFrame:
     schema = T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
     names = schema.names
 
@@ -148,29 +184,19 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType,
         step = make()
         for batch in batches:
             for part in slices(batch):
-                made = pa.array([step(x) for x in part.column(source).to_pylist()], type=arrow)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names[:-1]), made], names=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names[:-1]), step(part.column(source))], names=names)
 
     return df.mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``df`` with the ids of ``text_col`` as array<int>. ``ranks_path`` must be readable on every executor."""
-
-    def make():
-        return Encoder(load_ranks(ranks_path), pattern).encode
-
-    return _with_column(df, out_col, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), text_col, make)
+    return _with_column(df, out_col, T.ArrayType(T.IntegerType()), text_col, lambda: encoder(ranks_path, pattern).column)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` with the bytes that ``ids_col`` stands for."""
-
-    def make():
-        by_id = {i: b for b, i in load_ranks(ranks_path).items()}
-        return lambda ids: b"".join(map(by_id.__getitem__, ids or ()))
-
-    return _with_column(df, out_col, T.BinaryType(), pa.binary(), ids_col, make)
+    return _with_column(df, out_col, T.BinaryType(), ids_col, lambda: Decoder(load_ranks(ranks_path)).column)
 
 
 def digest_columns(ids_col: str = "ids", decoded_col: str = "decoded") -> list[F.Column]:
