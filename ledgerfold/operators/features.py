@@ -15,6 +15,10 @@ from ledgerfold.operators.filters import top_n_values
 
 MAX_LEVELS = 256
 
+# What a missing calendar feature becomes (None: the column's median, cut to a whole number).
+CALENDAR_DEFAULTS = {"contract_start_year": None, "contract_start_quarter": 1, "contract_start_month": 1,
+                     "contract_duration_planned_days": 365, "is_end_of_fiscal_year": 0, "years_since_2015": None}
+
 
 def median_impute(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """NULL → exact median of the non-NULL values (one scalar subquery)."""
@@ -76,10 +80,10 @@ def structured_features(df: DataFrame, base_col: str = "initial_cost") -> DataFr
     f = rare_level_grouping(f, "contract_type", 10, "contract_type_grouped")
     f = rare_level_grouping(f, "competition", 8, "extent_competed_grouped")
     f = f.withColumn("psc_category4", scalars.psc_category4("psc"))
-    for c in ("contract_start_year", "contract_start_quarter", "contract_start_month", "is_end_of_fiscal_year",
-              "contract_duration_planned_days", "years_since_2015"):
+    for c, default in CALENDAR_DEFAULTS.items():
         if c in f.columns:
-            f = f.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+            fill = f.agg(F.median(F.col(c).cast("double"))).scalar().cast("int").cast("double") if default is None else F.lit(float(default))
+            f = f.withColumn(c, F.coalesce(F.col(c).cast("double"), fill))
     if "contract_duration_planned_days" in f.columns:
         f = f.withColumn("log_duration_days", scalars.signed_log("contract_duration_planned_days"))
     eofy = F.col("is_end_of_fiscal_year") if "is_end_of_fiscal_year" in f.columns else F.lit(0.0)

@@ -7,8 +7,8 @@ is formed:
 * substring (J9): if a name occurs in a text, the name's interior
   whitespace tokens occur there as whole tokens; each name is joined on its
   *rarest* interior token bigram, then ``contains`` verifies. Names with
-  fewer than four tokens have no interior bigram and go to a broadcast
-  theta join whose side is counted first.
+  fewer than four tokens have no interior bigram; their key is the rarest of
+  their character trigrams (the whole name, if it is shorter).
 * token (J8/G3): distinctive tokens (parenthesised acronyms, tokens mixing
   letters and digits) joined on equality.
 * fuzzy (J10): token-set Jaccard ≥ t found with the exact prefix filter:
@@ -18,12 +18,13 @@ is formed:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from fractions import Fraction
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ACRONYM = r"\(([A-Z0-9 -]+)\)"
 MODEL_NUMBER = r"^([A-Za-z]+-?[0-9][A-Za-z0-9-]*|[0-9]+-?[A-Za-z][A-Za-z0-9-]*)$"
-MAX_SHORT_NAMES = 10_000
 
 
 def _tokens(col):
@@ -47,8 +48,22 @@ def link_token(programs: DataFrame, p_key: str, p_name: str, docs: DataFrame, d_
               .withColumn("match_score", F.lit(100)).withColumn("match_type", F.lit("token_match")))
 
 
-def link_substring(programs: DataFrame, p_key: str, p_name: str, docs: DataFrame, d_key: str, d_text: str,
-                   max_short_names: int = MAX_SHORT_NAMES) -> DataFrame:
+def _rarest_key_links(names: DataFrame, p_key: str, doc_keys: DataFrame, d_key: str) -> DataFrame:
+    """Candidates: each name's keys (p_key, bg) against the documents' (d_key, bg), by the name's rarest key alone."""
+    # document keys that are some name's key, before anything is shuffled twice
+    known = doc_keys.join(names.select("bg").distinct(), "bg", "left_semi").distinct()
+    df_bg = known.groupBy("bg").agg(F.count(F.lit(1)).alias("df"))
+    rare = names.join(df_bg, "bg").groupBy(p_key).agg(F.min_by("bg", F.struct("df", "bg")).alias("bg"))
+    return rare.join(known, "bg").select(p_key, d_key).distinct()
+
+
+def _char_grams(col, k):
+    s = F.coalesce(F.col(col), F.lit(""))
+    return F.when(F.length(s) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - k + 1, F.lit(1))),
+                                                                 lambda i: F.substr(s, i, F.lit(k)))))
+
+
+def link_substring(programs: DataFrame, p_key: str, p_name: str, docs: DataFrame, d_key: str, d_text: str) -> DataFrame:
     """(program, document) where the document text contains the program name exactly."""
     pn = programs.select(p_key, p_name).filter(F.col(p_name).isNotNull() & (F.length(p_name) > 0))
     pt = pn.withColumn("_t", _tokens(p_name)).withColumn("_n", F.size("_t"))
@@ -57,23 +72,18 @@ def link_substring(programs: DataFrame, p_key: str, p_name: str, docs: DataFrame
         p_key, F.explode(F.zip_with(F.slice("_t", 2, F.col("_n") - 3), F.slice("_t", 3, F.col("_n") - 3),
                                     lambda a, b: F.concat_ws(" ", a, b))).alias("bg"))
     dt = docs.select(d_key, _tokens(d_text).alias("_t"))
-    doc_bg = dt.select(d_key, F.explode(F.zip_with(F.slice("_t", 1, F.size("_t") - 1), F.slice("_t", 2, F.size("_t") - 1),
-                                                   lambda a, b: F.concat_ws(" ", a, b))).alias("bg")).distinct()
-    # document frequency only of bigrams that are some name's key
-    df_bg = doc_bg.join(keyed.select("bg").distinct(), "bg", "left_semi").groupBy("bg").agg(F.count(F.lit(1)).alias("df"))
-    rare = (keyed.join(df_bg, "bg").groupBy(p_key)
-                 .agg(F.min_by("bg", F.struct("df", "bg")).alias("bg")))  # a name's rarest key
-    cand = rare.join(doc_bg, "bg").select(p_key, d_key).distinct()
-    long_links = (cand.join(pn, p_key).join(docs.select(d_key, d_text), d_key)
+    doc_bg = dt.select(d_key, F.explode(F.zip_with(F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))), F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))),
+                                                   lambda a, b: F.concat_ws(" ", a, b))).alias("bg"))
+    # names with fewer than four tokens: their character trigrams (or the whole name, if shorter) occur in the text
+    short = pt.filter(F.col("_n") < 4)
+    for k in (1, 2, 3):
+        own = short.filter(F.length(p_name) == k if k < 3 else F.length(p_name) >= 3)
+        keyed = keyed.unionByName(own.select(p_key, F.explode(_char_grams(p_name, k)).alias("bg")).withColumn("bg", F.concat(F.lit(f"{k}:"), "bg")))
+        doc_bg = doc_bg.unionByName(docs.select(d_key, F.explode(_char_grams(d_text, k)).alias("bg")).withColumn("bg", F.concat(F.lit(f"{k}:"), "bg")))
+    cand = _rarest_key_links(keyed, p_key, doc_bg, d_key)
+    links = (cand.join(pn, p_key).join(docs.select(d_key, d_text), d_key)
                       .filter(F.col(d_text).contains(F.col(p_name))).select(p_key, d_key))
-    short = pt.filter(F.col("_n") < 4).select(p_key, p_name)
-    n_short = short.count()
-    if n_short > max_short_names:
-        raise ValueError(f"{n_short} names shorter than 4 tokens: too many to broadcast")
-    short_links = (docs.select(d_key, d_text).join(F.broadcast(short), F.col(d_text).contains(F.col(p_name)))
-                       .select(p_key, d_key)) if n_short else None
-    out = long_links if short_links is None else long_links.unionByName(short_links)
-    return out.withColumn("match_score", F.lit(100)).withColumn("match_type", F.lit("substring_match"))
+    return links.withColumn("match_score", F.lit(100)).withColumn("match_type", F.lit("substring_match"))
 
 
 def _token_set(col):
@@ -84,6 +94,7 @@ def _token_set(col):
 def link_fuzzy(left: DataFrame, l_key: str, l_text: str, right: DataFrame, r_key: str, r_text: str,
                threshold: float = 0.85) -> DataFrame:
     """(l_key, r_key, similarity) with token-set Jaccard ≥ threshold (exact prefix-filter join)."""
+    up, down = Fraction(str(threshold)).limit_denominator(10**6).as_integer_ratio()
     ls = left.select(F.col(l_key).alias("_lk"), _token_set(l_text).alias("_s")).filter(F.size("_s") > 0)
     rs = right.select(F.col(r_key).alias("_rk"), _token_set(r_text).alias("_s")).filter(F.size("_s") > 0)
     # document frequency over both sides (partial-aggregated)
@@ -93,15 +104,15 @@ def link_fuzzy(left: DataFrame, l_key: str, l_text: str, right: DataFrame, r_key
     def prefixes(s: DataFrame, k: str) -> DataFrame:
         e = s.select(k, F.size("_s").alias("_n"), F.explode("_s").alias("tok")).join(dfreq, "tok")
         ordered = e.groupBy(k, "_n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("_o"))  # one set
-        p = F.col("_n") - F.ceil(F.col("_n") * threshold) + 1
+        p = F.col("_n") - F.expr(f"(_n * {up}L + {down - 1}L) div {down}L") + 1  # whole numbers: no token short
         return ordered.select(k, F.explode(F.slice("_o", 1, p)).alias("x")).select(k, F.col("x.tok").alias("tok"))
 
     cand = prefixes(ls, "_lk").join(prefixes(rs, "_rk"), "tok").select("_lk", "_rk").distinct()
     j = cand.join(ls, "_lk").join(rs.withColumnRenamed("_s", "_s2"), "_rk")
     inter = F.size(F.array_intersect("_s", "_s2"))
     union = F.size(F.array_union("_s", "_s2"))
-    return (j.select(F.col("_lk").alias(l_key), F.col("_rk").alias(r_key), (inter / union).alias("similarity"))
-             .filter(F.col("similarity") >= threshold))
+    return (j.select(F.col("_lk").alias(l_key), F.col("_rk").alias(r_key), (inter / union).alias("similarity"), (inter * down >= union * up).alias("_ok"))
+             .filter("_ok").drop("_ok"))
 
 
 # Preference among link types for the same pair (exact first).

@@ -67,7 +67,7 @@ _SF_SQL = f"""(SELECT piid, lb AS log_base_value, offers AS num_offers_imputed,
          CAST(COALESCE(num_modifications, 1) AS DOUBLE) AS mods,
          COALESCE(num_offers, median(num_offers) OVER ()) AS offers,
          CAST(COALESCE(CAST(month(effective_date) = 9 AS INTEGER), 0) AS DOUBLE) AS eofy,
-         CAST(COALESCE({days('initial_completion_date', 'effective_date')}, 0) AS DOUBLE) AS dur
+         CAST(COALESCE({days('initial_completion_date', 'effective_date')}, 365) AS DOUBLE) AS dur
        FROM {L} t) x)"""
 
 

@@ -34,7 +34,7 @@ def program_records(spark, sf_dir):
         .alias("current_ioc_date"),
         (shift + F.when(F.pmod(i, F.lit(13)) == 5, F.lit(3)).otherwise(F.lit(0))).cast("int").alias("schedule_delay_months"),
         F.when(F.pmod(i, F.lit(10)) != 0, growth > 15).alias("nunn_mccurdy_breach"),
-        F.substring("text", 1, 40).alias("primary_challenge"),
+        F.col("text").alias("primary_challenge"),
         F.floor(i / 10).alias("chunk"))
     copy = (rec.filter(F.pmod(F.col("program_id"), F.lit(10)) == 9)
                .withColumn("current_cost_millions", F.lit(None).cast("double"))
@@ -60,7 +60,7 @@ _PROG_SQL = """(WITH r AS (SELECT item_id AS program_id, text AS program_name, C
     CAST((item_id * 7) % 40 + CASE WHEN item_id % 13 = 5 THEN 3 ELSE 0 END AS INTEGER) AS schedule_delay_months,
     CASE WHEN item_id % 10 <> 0 THEN (CAST(length(text) AS DOUBLE) * 10 + CAST(item_id % 9 - 3 AS DOUBLE) * 25 - CAST(length(text) AS DOUBLE) * 10)
       / (CAST(length(text) AS DOUBLE) * 10) * 100 + CASE WHEN item_id % 11 = 4 THEN 10.0 ELSE 0.0 END > 15 END AS nunn_mccurdy_breach,
-    substr(text, 1, 40) AS primary_challenge, item_id // 10 AS chunk FROM benchmark)
+    text AS primary_challenge, item_id // 10 AS chunk FROM benchmark)
   SELECT * EXCLUDE (chunk), 'gao_' || CAST(report_year AS VARCHAR) || '_chunk_' || CAST(chunk AS VARCHAR) || '.json' AS source_file FROM (
     SELECT * FROM r UNION ALL
     SELECT * REPLACE (CAST(NULL AS DOUBLE) AS current_cost_millions, chunk + 1 AS chunk) FROM r WHERE program_id % 10 = 9) u)"""

@@ -33,21 +33,15 @@ K_TOPICS = 12
 
 
 def _lda(spark, sf_dir, k=K_TOPICS):
-    """Fitted once per (session, data folder, K): several queries read the same model."""
-    key = ("lda", spark.sparkContext.applicationId, sf_dir, k)
-    if key not in _CACHE:
-        ta = track_a(spark, sf_dir)
-        cvm, vecs = topics.bow_vectors(ta, "tokens", 15, 0.5)
-        vecs = materialize(vecs)
-        _CACHE[key] = (cvm, vecs, topics.fit_lda(vecs, k=k))
-    return _CACHE[key]
+    """Vocabulary, term vectors and the topic model fitted on them."""
+    ta = track_a(spark, sf_dir)
+    cvm, vecs = topics.bow_vectors(ta, "tokens", 15, 0.5)
+    vecs = materialize(vecs)
+    return cvm, vecs, topics.fit_lda(vecs, k=k)
 
 
 def feature_table(spark, sf_dir):
     """(doc_id, quality, toxic, A, B, C) arrays per labelled document, materialised once."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _CACHE:
-        return _CACHE[key]
     d = bindings.labelled_documents(spark, sf_dir)
     d = features.rare_level_grouping(d, "source", 10, "source_g")
     d = features.one_hot(d, "lang", "lang")
@@ -68,11 +62,7 @@ def feature_table(spark, sf_dir):
     zc = F.array_repeat(F.lit(0.0), K_TOPICS)
     t = (a.join(b, "doc_id", "left").join(c, "doc_id", "left")
           .select("doc_id", "quality", "toxic", "A", F.coalesce("B", zb).alias("B"), F.coalesce("C", zc).alias("C")))
-    _CACHE[key] = materialize(t)
-    return _CACHE[key]
-
-
-_CACHE: dict = {}
+    return materialize(t)
 
 
 def _config_rows(ft, config, target):
@@ -90,13 +80,6 @@ def _maybe_smote(train, target):
 
 
 def _run_grid(spark, sf_dir, algorithm):
-    key = ("grid", spark.sparkContext.applicationId, sf_dir, algorithm)
-    if key not in _CACHE:
-        _CACHE[key] = _fit_grid(spark, sf_dir, algorithm)
-    return _CACHE[key]
-
-
-def _fit_grid(spark, sf_dir, algorithm):
     ft = feature_table(spark, sf_dir)
     rows: list[dict] = []
     for target in TARGETS:

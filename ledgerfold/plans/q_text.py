@@ -89,13 +89,13 @@ def _bigram_sql():
 
 @query("bigrams", f"""
 SELECT term, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS df
-FROM (SELECT doc_id, unnest(bi) AS term FROM {_bigram_sql()} b) u GROUP BY term HAVING count(DISTINCT doc_id) >= 2""")
+FROM (SELECT doc_id, unnest(bi) AS term FROM {_bigram_sql()} b) u GROUP BY term""")
 def bigrams(spark, sf_dir):
-    """Bigrams formed after English stop removal, with corpus count and df (df ≥ 2)."""
+    """Bigrams formed after English stop removal, with corpus count and df."""
     d = docs(spark, sf_dir).select("doc_id", tx.remove_stops(tx.light_tokens("text")).alias("u"))
     bi = d.select("doc_id", tx.bigrams_only(F.col("u")).alias("bi"))
     tc = ot.term_counts(bi, "doc_id", "bi")
-    return ot.doc_frequency(tc, "doc_id").filter(F.col("df") >= 2).select(
+    return ot.doc_frequency(tc, "doc_id").select(
         "term", F.col("cf").cast("bigint").alias("n"), F.col("df").cast("bigint").alias("df"))
 
 
