@@ -7,8 +7,8 @@ is formed:
 * substring (J9): if a name occurs in a text, the name's interior
   whitespace tokens occur there as whole tokens; each name is joined on its
   *rarest* interior token bigram, then ``contains`` verifies. Names with
-  fewer than four tokens have no interior bigram; their key is the rarest of
-  their character trigrams (the whole name, if it is shorter).
+  fewer than four tokens have no interior bigram and are looked for in all
+  texts, in blocks of about ``SHORT_NAMES``.
 * token (J8/G3): distinctive tokens (parenthesised acronyms, tokens mixing
   letters and digits) joined on equality.
 * fuzzy (J10): token-set Jaccard ≥ t found with the exact prefix filter:
@@ -27,6 +27,9 @@ ACRONYM = r"\(([A-Z0-9 -]+)\)"
 MODEL_NUMBER = r"^([A-Za-z]+-?[0-9][A-Za-z0-9-]*|[0-9]+-?[A-Za-z][A-Za-z0-9-]*)$"
 
 
+SHORT_NAMES = 10_000
+
+
 def _tokens(col):
     return F.filter(F.split(F.coalesce(F.col(col), F.lit("")), r"\s+"), lambda t: F.length(t) > 0)
 
@@ -57,12 +60,6 @@ def _rarest_key_links(names: DataFrame, p_key: str, doc_keys: DataFrame, d_key:
     return rare.join(known, "bg").select(p_key, d_key).distinct()
 
 
-def _char_grams(col, k):
-    s = F.coalesce(F.col(col), F.lit(""))
-    return F.when(F.length(s) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - k + 1, F.lit(1))),
-                                                                 lambda i: F.substr(s, i, F.lit(k)))))
-
-
 def link_substring(programs: DataFrame, p_key: str, p_name: str, docs: DataFrame, d_key: str, d_text: str) -> DataFrame:
     """(program, document) where the document text contains the program name exactly."""
     pn = programs.select(p_key, p_name).filter(F.col(p_name).isNotNull() & (F.length(p_name) > 0))
@@ -74,15 +71,15 @@ def link_substring(programs: DataFrame, p_key: str, p_name: str, docs: DataFrame
     dt = docs.select(d_key, _tokens(d_text).alias("_t"))
     doc_bg = dt.select(d_key, F.explode(F.zip_with(F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))), F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))),
                                                    lambda a, b: F.concat_ws(" ", a, b))).alias("bg"))
-    # names with fewer than four tokens: their character trigrams (or the whole name, if shorter) occur in the text
-    short = pt.filter(F.col("_n") < 4)
-    for k in (1, 2, 3):
-        own = short.filter(F.length(p_name) == k if k < 3 else F.length(p_name) >= 3)
-        keyed = keyed.unionByName(own.select(p_key, F.explode(_char_grams(p_name, k)).alias("bg")).withColumn("bg", F.concat(F.lit(f"{k}:"), "bg")))
-        doc_bg = doc_bg.unionByName(docs.select(d_key, F.explode(_char_grams(d_text, k)).alias("bg")).withColumn("bg", F.concat(F.lit(f"{k}:"), "bg")))
     cand = _rarest_key_links(keyed, p_key, doc_bg, d_key)
     links = (cand.join(pn, p_key).join(docs.select(d_key, d_text), d_key)
                       .filter(F.col(d_text).contains(F.col(p_name))).select(p_key, d_key))
+    # names with fewer than four tokens: a stated set of queries against all texts, in blocks of bounded size
+    short = pt.filter(F.col("_n") < 4).select(p_key, p_name)
+    blocks = -(-2 * short.count() // SHORT_NAMES)
+    for k in range(blocks):
+        block = F.broadcast(short.filter(F.pmod(F.xxhash64(p_key), F.lit(blocks)) == k))
+        links = links.unionByName(docs.select(d_key, d_text).join(block, F.col(d_text).contains(F.col(p_name))).select(p_key, d_key))
     return links.withColumn("match_score", F.lit(100)).withColumn("match_type", F.lit("substring_match"))
 
 

@@ -33,16 +33,16 @@ def group_rank(df: DataFrame, group: str, order: Column, n_parts: int | None = N
     w = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
     # ≤ groups × partitions rows; a NULL group is a group
-    stats = stats.select(F.col(group).alias("_g"), F.col("_pid").alias("_p"), "_m0", "_off")
-    out = s.join(F.broadcast(stats), s[group].eqNullSafe(F.col("_g")) & (s["_pid"] == F.col("_p"))).drop("_g", "_p")
+    stats = stats.select(F.col(group).alias("__group"), F.col("_pid").alias("__part"), "_m0", "_off")
+    out = s.join(F.broadcast(stats), s[group].eqNullSafe(F.col("__group")) & (s["_pid"] == F.col("__part"))).drop("__group", "__part")
     return out.withColumn("rank", F.col("_off") + F.col("_mid") - F.col("_m0") + 1).drop("_o", "_pid", "_mid", "_m0", "_off")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Per class, the first ceil(fraction·n_class) keys in hash order are test rows."""
     r = group_rank(df, label, F.struct(hash_order(key, seed), F.col(key)))
-    sizes = df.groupBy(F.col(label).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))  # one row per class, NULL among them
-    return (r.join(F.broadcast(sizes), r[label].eqNullSafe(F.col("_g"))).drop("_g")
+    sizes = df.groupBy(F.col(label).alias("__group")).agg(F.count(F.lit(1)).alias("_n"))  # one row per class, NULL among them
+    return (r.join(F.broadcast(sizes), r[label].eqNullSafe(F.col("__group"))).drop("__group")
              .withColumn("is_test", F.col("rank") <= F.ceil(F.col("_n") * test_fraction))
              .drop("_n", "rank"))
 
@@ -63,5 +63,5 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def with_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Attach the balanced class weight to every row (class table broadcast: one row per class)."""
-    w = class_weights(df, label).select(F.col(label).alias("_g"), F.col("weight").alias(out))
-    return df.join(F.broadcast(w), df[label].eqNullSafe(F.col("_g"))).drop("_g")
+    w = class_weights(df, label).select(F.col(label).alias("__group"), F.col("weight").alias(out))
+    return df.join(F.broadcast(w), df[label].eqNullSafe(F.col("__group"))).drop("__group")
