@@ -31,7 +31,8 @@ HEADLINE = [
     "cosine_topk",
     "stratified_folds",
     "roc_auc_rank",
-    "link_token",
+    "link_best",
+    "light_clean",
     "label_runs_agreement",
 ]
 
