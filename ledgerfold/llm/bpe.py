@@ -17,6 +17,7 @@ and other columns pass through untouched.
 from __future__ import annotations
 
 import base64
+from array import array
 from heapq import heappop, heappush
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from ledgerfold.llm.common import slices
 
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 250_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,35 +37,50 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+#: Characters of text split at a time, and bytes of split matches in one linked list (one match at least).
+AT_ONCE, TOGETHER = 1 << 20, 1 << 12
 SPAN = 10  # a leaf of the bitmap covers 2 ** SPAN ranks
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one split match.
+    """Ids of one split match."""
+    return merge_all([piece], ranks)[0]
+
+
+def merge_all(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+    """Ids of each split match; all matches lie in one linked list, and no pair reaches over a match's edge.
 
     ``buckets`` maps a rank to the positions waiting for it; ``leaf`` holds a
     bit for each non-empty bucket, ``top`` one for each non-empty leaf. The
     lowest set bit of ``top``, then of that leaf, is the next rank.
     """
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n, get, low = len(piece), ranks.get, (1 << SPAN) - 1
-    end = list(range(1, n + 1))  # end[i]: where the part that begins at i ends; 0 once it's merged into its left
+    text, get, low = b"".join(pieces), ranks.get, (1 << SPAN) - 1
+    n = len(text)
+    end = list(range(1, n + 1))  # end[i]: where the part that begins at i ends
     before = list(range(-1, n))
+    inner = bytearray(b"\1") * (n + 1)  # 0 where a match begins: nothing merges to the left of it
+    at = 0
+    for piece in pieces:
+        inner[at] = 0
+        at += len(piece)
+        if piece in ranks:
+            inner[at - len(piece):at] = bytes(len(piece))  # done already: its bytes stay apart
+    inner[n] = 0
+    # rank of the pair that begins at i; -1 if none or merged into its left
+    now = [get(text[i:i + 2], -1) if inner[i + 1] else -1 for i in range(n)]
     buckets: dict[int, list[int]] = {}
-    leaf: dict[int, int] = {}
-    top = 0
-    for i in range(n - 1):
-        rank = get(piece[i:i + 2])
-        if rank is not None:
+    for i, rank in enumerate(now):
+        if rank >= 0:
             if rank in buckets:
                 buckets[rank].append(i)
             else:
                 buckets[rank] = [i]
-                a = rank >> SPAN
-                leaf[a] = leaf.get(a, 0) | 1 << (rank & low)
-                top |= 1 << a
+    leaf: dict[int, int] = {}
+    top = 0
+    for rank in buckets:
+        a = rank >> SPAN
+        leaf[a] = leaf.get(a, 0) | 1 << (rank & low)
+        top |= 1 << a
     while top:
         a = (top & -top).bit_length() - 1
         word = leaf[a]
@@ -73,67 +89,99 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         lower = False
         while bucket and not lower:
             i = heappop(bucket)
-            middle = end[i]
-            if not middle or middle >= n:
-                continue  # stale
-            stop = end[middle]
-            if get(piece[i:stop]) != rank:
+            if now[i] != rank:
                 continue  # stale
-            end[i], end[middle] = stop, 0
-            near = []
-            if stop < n:
+            middle = end[i]
+            stop = end[i] = end[middle]
+            now[middle] = now[i] = -1
+            near = ()
+            if inner[stop]:
                 before[stop] = i
-                near.append((i, end[stop]))
-            if i:
-                near.append((before[i], stop))
-            for at, to in near:
-                r = get(piece[at:to])
-                if r is not None:
-                    if r in buckets:
-                        heappush(buckets[r], at)
-                    else:
-                        buckets[r] = [at]
-                        c = r >> SPAN
-                        leaf[c] = leaf.get(c, 0) | 1 << (r & low)
-                        top |= 1 << c
-                    lower |= r < rank
+                r = now[i] = get(text[i:end[stop]], -1)
+                if r >= 0:
+                    near = ((r, i),)
+            if inner[i]:
+                j = before[i]
+                r = now[j] = get(text[j:stop], -1)
+                if r >= 0:
+                    near = (*near, (r, j))
+            for r, j in near:
+                if r in buckets:
+                    heappush(buckets[r], j)
+                else:
+                    buckets[r] = [j]
+                    c = r >> SPAN
+                    leaf[c] = leaf.get(c, 0) | 1 << (r & low)
+                    top |= 1 << c
+                if r < rank:
+                    lower = True
         if not bucket:
             del buckets[rank]
             leaf[a] &= ~(1 << (rank & low))
             if not leaf[a]:
                 top &= ~(1 << a)
     out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i:end[i]]])
-        i = end[i]
+    for piece in pieces:
+        ids, stop = [], i + len(piece)
+        whole = get(piece)
+        if whole is not None:
+            ids.append(whole)
+            i = stop
+        while i < stop:
+            ids.append(ranks[text[i:end[i]]])
+            i = end[i]
+        out.append(ids)
     return out
 
 
 class Encoder(dict):
-    """Ids (32-bit, as bytes) of a split match, remembered while the table has room."""
+    """Ids (32-bit, as bytes) of split matches. A full table becomes the older one, whose
+    entries come back as they are met again, and the one that was the older goes."""
 
     def __bool__(self) -> bool:
         return True  # also while nothing is remembered
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge(piece.encode("utf-8"), self.ranks), dtype="<i4").tobytes()
-        if len(piece) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def packed(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text))) if text else b""
+        self.older: dict[str, bytes] = {}
+
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; the matches that none of the tables holds are encoded together."""
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        split = [self.split(t) if t else [] for t in texts]
+        new = set().union(*split).difference(self)
+        for piece in new.intersection(self.older):
+            self[piece] = self.older[piece]
+        new = list(new.difference(self))
+        first = 0
+        while first < len(new):
+            part, size = [], 0
+            while first < len(new) and size < TOGETHER:
+                part.append(new[first].encode("utf-8"))
+                size += len(part[-1])
+                first += 1
+            for piece, ids in zip(new[first - len(part):first], merge_all(part, self.ranks), strict=True):
+                self[piece] = array("i", ids).tobytes()
+        out = [b"".join(map(self.__getitem__, pieces)) for pieces in split]
+        for piece in new:
+            if len(piece) > LONGEST_REMEMBERED:
+                del self[piece]
+        return out
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.packed(text), dtype="<i4").tolist()
+        return np.frombuffer(self.packed([text])[0], dtype="<i4").tolist()
 
     def column(self, texts: pa.Array) -> pa.Array:
-        made = [self.packed(t) for t in texts.to_pylist()]
+        made, some, size = [], [], 0
+        for text in texts.to_pylist():
+            some.append(text)
+            size += len(text or "")
+            if size >= AT_ONCE:
+                made += self.packed(some)
+                some, size = [], 0
+        made += self.packed(some)
         ends = np.cumsum([0, *(len(m) // 4 for m in made)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(made), dtype="<i4"), pa.int32()))
 
