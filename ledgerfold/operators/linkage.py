@@ -129,6 +129,13 @@ def best_links(links: DataFrame, programs: DataFrame, p_key: str, d_key: str) ->
     return best.unionByName(unmatched)
 
 
+def match_type_summary(links: DataFrame) -> DataFrame:
+    """Per match type the number of links and their score's mean, deviation, least and highest value."""
+    x = F.col("match_score")
+    return links.groupBy("match_type").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_score"), F.stddev_samp(x).alias("std_score"),
+                                           F.min(x).alias("min_score"), F.max(x).alias("max_score"))
+
+
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """Agreement rate, each side's positive rate and the confusion counts on rows with both."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())

@@ -79,6 +79,13 @@ def rate_by(df: DataFrame, group: str | list[str], targets: list[str], min_suppo
     return out
 
 
+def share_zero_on_time(df: DataFrame, growth: str, delay: str) -> DataFrame:
+    """Counts and shares at zero growth and without delay, of the rows where each is known (NULL share if none is)."""
+    out = df.agg(F.count(growth).alias("n_growth"), F.count_if(F.col(growth) == 0).alias("n_zero_growth"),
+                 F.count(delay).alias("n_delay"), F.count_if(F.col(delay) <= 0).alias("n_on_time"))
+    return out.withColumns({"share_zero_growth": F.try_divide("n_zero_growth", "n_growth"), "share_on_time": F.try_divide("n_on_time", "n_delay")})
+
+
 def rate_in_top(df: DataFrame, group: str, targets: list[str], n_top: int) -> DataFrame:
     """Rates within the top-N categories by volume (N-row broadcast semi join)."""
     top = F.broadcast(top_n_values(df, group, n_top).select(group))

@@ -89,6 +89,18 @@ def token_frequency(docs: DataFrame, tokens_col: str, k: int = 20) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "token")))  # k rows
 
 
+def vocabulary_profile(docs: DataFrame, tokens_col: str) -> DataFrame:
+    """Documents, empty ones (NULL too), tokens, tokens a document and vocabulary size.
+
+    The vocabulary is counted as distinct tokens, each reduced before it is shuffled.
+    """
+    per = docs.select(F.coalesce(F.size(tokens_col), F.lit(0)).alias("k"))
+    sizes = per.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("k") <= 0).alias("n_empty"),
+                    F.sum(F.greatest("k", F.lit(0))).cast("bigint").alias("n_tokens"))
+    words = docs.select(F.explode(tokens_col).alias("token")).groupBy("token").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("n_vocabulary"))
+    return sizes.withColumn("n_vocabulary", words.scalar()).withColumn("avg_tokens", F.try_divide("n_tokens", "n_docs"))
+
+
 def chunks(docs: DataFrame, key: str, text_col: str, size: int = 80, overlap: int = 8) -> DataFrame:
     """(key, chunk_idx, n_words, chunk_text) overlapping word windows."""
     return (docs.select(key, F.posexplode(tx.word_windows(text_col, size, overlap)).alias("chunk_idx", "chunk_text"))

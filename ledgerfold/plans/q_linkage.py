@@ -261,3 +261,39 @@ def link_agreement(spark, sf_dir):
               .select(F.coalesce((F.col("cost_growth_percent") > 5).cast("int"), F.lit(0)).alias("prog_over"),
                       F.col("quality").alias("doc_label")))
     return rounded(linkage.agreement(j, "prog_over", "doc_label"))
+
+
+@query("link_fuzzy_wide", f"SELECT program_id, doc_id, line_no, round(similarity, 6) AS similarity FROM {_FUZZY_SQL.replace('0.85', '0.6')} f")
+def link_fuzzy_wide(spark, sf_dir):
+    """J10 at a similarity of 0.6 or more, which the test lines reach."""
+    lines = _lines(spark, sf_dir)
+    f = linkage.link_fuzzy(_programs(spark, sf_dir), "program_id", "program_name", lines, "line_key", "line", 0.6)
+    out = f.join(lines.select("line_key", "doc_id", "line_no"), "line_key")
+    return rounded(out.select("program_id", "doc_id", "line_no", "similarity"))
+
+
+@query("match_type_summary", f"""
+SELECT match_type, CAST(count(*) AS BIGINT) AS n, round(avg(match_score), 6) AS mean_score, round(stddev_samp(match_score), 6) AS std_score,
+  CAST(min(match_score) AS INTEGER) AS min_score, CAST(max(match_score) AS INTEGER) AS max_score FROM {_BEST_SQL} b GROUP BY match_type""")
+def match_type_summary(spark, sf_dir):
+    """Links per match type, with the spread of their scores."""
+    return rounded(linkage.match_type_summary(_best(spark, sf_dir)))
+
+
+@query("link_agreement_schedule", f"""
+SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CAST(prog_late = doc_label AS DOUBLE)), 6) AS agreement,
+  round(avg(CAST(prog_late AS DOUBLE)), 6) AS prog_late_rate, round(avg(CAST(doc_label AS DOUBLE)), 6) AS doc_label_rate,
+  CAST(count(*) FILTER (WHERE prog_late = 0 AND doc_label = 0) AS BIGINT) AS tn, CAST(count(*) FILTER (WHERE prog_late = 0 AND doc_label = 1) AS BIGINT) AS fp,
+  CAST(count(*) FILTER (WHERE prog_late = 1 AND doc_label = 0) AS BIGINT) AS fn, CAST(count(*) FILTER (WHERE prog_late = 1 AND doc_label = 1) AS BIGINT) AS tp
+FROM (SELECT COALESCE(CAST(d.delay > 0 AS INTEGER), 0) AS prog_late, l.toxic AS doc_label
+      FROM {_BEST_SQL} b JOIN (SELECT program_name, arg_min(schedule_delay_months, source_file) AS delay FROM {_PROG_SQL} p GROUP BY program_name) d
+        ON d.program_name = (SELECT text FROM benchmark WHERE item_id = b.program_id)
+      JOIN labels l ON b.doc_id = l.doc_id WHERE b.match_type <> 'no_match') x WHERE doc_label IS NOT NULL""")
+def link_agreement_schedule(spark, sf_dir):
+    """Program lateness flag (delay > 0 months, C24; null is 0) vs the linked document's second label."""
+    links = _best(spark, sf_dir).filter(F.col("match_type") != "no_match")
+    recs = parsed_programs(spark, sf_dir).groupBy("program_name").agg(F.min_by("schedule_delay_months", "source_file").alias("delay"))
+    lab = bindings.table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    j = (links.join(_programs(spark, sf_dir), "program_id").join(recs, "program_name").join(lab, "doc_id")
+              .select(F.coalesce((F.col("delay") > 0).cast("int"), F.lit(0)).alias("prog_late"), F.col("toxic").alias("doc_label")))
+    return rounded(linkage.agreement(j, "prog_late", "doc_label"))

@@ -74,6 +74,39 @@ def rate_in_top_agencies(spark, sf_dir):
     return rounded(quality.rate_in_top(labelled_history(spark, sf_dir), "agency", ["over_budget", "late"], 10))
 
 
+@query("overrun_rate_by_type_top", f"""
+SELECT contract_type, CAST(count(*) AS BIGINT) AS n, round(avg(over_budget), 6) AS over_budget_rate, round(avg(late), 6) AS late_rate
+FROM {L} t SEMI JOIN (SELECT contract_type FROM {L} t2 GROUP BY contract_type ORDER BY count(*) DESC, contract_type ASC NULLS FIRST LIMIT 5) top
+USING (contract_type) GROUP BY contract_type""")
+def rate_in_top_types(spark, sf_dir):
+    """Positive rates within the 5 contract types with most contracts."""
+    return rounded(quality.rate_in_top(labelled_history(spark, sf_dir), "contract_type", ["over_budget", "late"], 5))
+
+
+_RATE_GROUPS = ["psc_category", "agency", "contract_type"]
+
+
+@query("top_rates", " UNION ALL ".join(f"""
+SELECT * FROM (SELECT '{g}' AS variable, {g} AS category, CAST(count(*) AS BIGINT) AS n, round(avg(over_budget), 6) AS over_budget_rate
+FROM {L} t WHERE {g} IS NOT NULL GROUP BY {g} HAVING avg(over_budget) IS NOT NULL ORDER BY round(avg(over_budget), 6) DESC, {g} LIMIT 10) {g}_top""" for g in _RATE_GROUPS))
+def top_rates(spark, sf_dir):
+    """The ten categories with the highest over-budget rate, per variable (NULLs excluded, ties by category)."""
+    lab = labelled_history(spark, sf_dir)
+    parts = [quality.top_k(rounded(quality.rate_by(lab.filter(F.col(g).isNotNull()), g, ["over_budget"])), "over_budget_rate", 10, g)
+             .select(F.lit(g).alias("variable"), F.col(g).alias("category"), "n", "over_budget_rate") for g in _RATE_GROUPS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("share_zero_on_time", f"""
+SELECT CAST(count(cost_growth_pct) AS BIGINT) AS n_growth, CAST(count(*) FILTER (WHERE cost_growth_pct = 0) AS BIGINT) AS n_zero_growth,
+  round(count(*) FILTER (WHERE cost_growth_pct = 0) * 1.0 / nullif(count(cost_growth_pct), 0), 6) AS share_zero_growth,
+  CAST(count(delay_days) AS BIGINT) AS n_delay, CAST(count(*) FILTER (WHERE delay_days <= 0) AS BIGINT) AS n_on_time,
+  round(count(*) FILTER (WHERE delay_days <= 0) * 1.0 / nullif(count(delay_days), 0), 6) AS share_on_time FROM {L} t""")
+def share_zero_on_time(spark, sf_dir):
+    """Share of contracts at zero growth, and on time (delay of no day), of those where it is known."""
+    return rounded(quality.share_zero_on_time(labelled_history(spark, sf_dir), "cost_growth_pct", "delay_days"))
+
+
 @query("rate_min_support", f"""
 SELECT vendor, agency, CAST(count(*) AS BIGINT) AS n, round(avg(over_budget), 6) AS over_budget_rate, round(avg(late), 6) AS late_rate
 FROM {L} t GROUP BY vendor, agency HAVING count(*) >= 10""")
@@ -185,6 +218,13 @@ def top_overruns(spark, sf_dir):
                    .select("piid", "cost_growth_pct", "initial_cost", "final_cost"))
 
 
+@query("top_delays", f"""
+SELECT piid, CAST(delay_days AS BIGINT) AS delay_days FROM {L} t WHERE delay_days IS NOT NULL ORDER BY delay_days DESC, piid LIMIT 5""")
+def top_delays(spark, sf_dir):
+    """The five longest delays (NULLs excluded, ties by piid)."""
+    return quality.top_k(labelled_history(spark, sf_dir), "delay_days", 5, "piid").select("piid", F.col("delay_days").cast("bigint").alias("delay_days"))
+
+
 _SAMPLE_SQL = (f"(SELECT piid FROM (SELECT DISTINCT piid FROM {_A_HIST} a WHERE piid IS NOT NULL) k "
                f"ORDER BY md5('42:' || CAST(piid AS VARCHAR)), piid LIMIT 500)")
 

@@ -81,6 +81,16 @@ def token_frequency(spark, sf_dir):
     return ot.token_frequency(track_a(spark, sf_dir), "tokens", 20)
 
 
+@query("vocabulary_profile", f"""
+SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(count(*) FILTER (WHERE len(tokens) = 0) AS BIGINT) AS n_empty,
+  CAST(sum(len(tokens)) AS BIGINT) AS n_tokens, round(sum(len(tokens)) * 1.0 / count(*), 6) AS avg_tokens,
+  (SELECT CAST(count(DISTINCT token) AS BIGINT) FROM (SELECT unnest(tokens) AS token FROM {_TRACK_A_SQL} b) u) AS n_vocabulary
+FROM {_TRACK_A_SQL} a""")
+def vocabulary_profile(spark, sf_dir):
+    """Vocabulary size, average tokens and empty documents of Track A."""
+    return rounded(ot.vocabulary_profile(track_a(spark, sf_dir), "tokens"))
+
+
 def _bigram_sql():
     u = f"list_filter({LT('text')}, lambda t: NOT list_contains({EN}, t))"
     return (f"(SELECT doc_id, list_transform(range(0, len(u) - 1), lambda i: u[i + 1] || ' ' || u[i + 2]) AS bi "
