@@ -2,6 +2,5 @@
 
 The analysed workload is bounded batch over file globs: it has no stream
 source, watermark, window, state store or late-data rule, so no streaming
-operator is provided here. Every batch operator in ``ledgerfold.operators``
-works on a streaming DataFrame inside ``foreachBatch`` if a caller needs it.
+operator is provided here.
 """

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ledgerfold.operators import features, linkage, sampling, vectors
+from ledgerfold.functions import scalars
+from ledgerfold.operators import features, linkage, quality, sampling, text, vectors
 
 
 def test_substring_link_with_empty_documents_and_short_names(spark):
@@ -40,3 +41,27 @@ def test_null_labels_stay(spark):
     assert sampling.stratified_folds(df, "k", "y").count() == 9
     assert sampling.stratified_split(df, "k", "y").count() == 9
     assert sampling.with_weights(df, "y").count() == 9
+
+
+def test_profiles_of_unknown_and_empty_values(spark):
+    df = spark.createDataFrame([(0.0, -3), (1.0, 0), (None, 5), (0.0, None)], "g double, d int")
+    r = quality.share_zero_on_time(df, "g", "d").first()
+    assert (r.n_growth, r.n_zero_growth, r.n_delay, r.n_on_time) == (3, 2, 3, 2)
+    none = quality.share_zero_on_time(df.limit(0), "g", "d").first()
+    assert none.n_growth == 0 and none.share_zero_growth is None and none.share_on_time is None
+    t = spark.createDataFrame([(["a", "b", "a"],), ([],), (None,)], "w array<string>")
+    r = text.vocabulary_profile(t, "w").first()
+    assert (r.n_docs, r.n_empty, r.n_tokens, r.n_vocabulary, r.avg_tokens) == (3, 2, 3, 2, 1.0)
+
+
+def test_match_types_and_examples(spark):
+    links = spark.createDataFrame([("a", 100), ("a", 100), ("b", 86), ("b", 90), ("no_match", 0)], "match_type string, match_score int")
+    got = {r.match_type: (r.n, r.mean_score, r.min_score, r.max_score) for r in linkage.match_type_summary(links).collect()}
+    assert got == {"a": (2, 100.0, 100, 100), "b": (2, 88.0, 86, 90), "no_match": (1, 0.0, 0, 0)}
+    df = spark.createDataFrame([(1, "abcdef"), (2, "ab"), (3, None), (4, "abcdefgh")], "k int, t string")
+    assert [(r.k, r.t) for r in quality.examples(df, "t", "k", long_above=3, max_len=4).collect()] == [(1, "abcd"), (4, "abcd")]
+
+
+def test_infinities_become_zero(spark):
+    df = spark.createDataFrame([(float("inf"),), (float("-inf"),), (2.5,)], "x double")
+    assert [r.y for r in df.select(scalars.inf_to_zero("x").alias("y")).collect()] == [0.0, 0.0, 2.5]
