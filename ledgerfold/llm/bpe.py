@@ -7,7 +7,8 @@ above it for a non-empty run of buckets) gives the lowest rank present by find-f
 the next merge costs a few word operations however long the list is. Merged
 neighbours leave stale entries behind; an entry counts only if the pair now at
 its position still has the bucket's rank. Within a rank, the leftmost position
-goes first. Matches that recur are remembered in a bounded table.
+goes first. Matches that recur are remembered in two bounded tables; those that are new in a
+batch share one list, in which no pair reaches over a match's edge.
 
 Defined results: null and empty texts give no ids and no bytes; texts of any
 length are encoded whole; ids that are no rank raise in decoding; rows repeat,
