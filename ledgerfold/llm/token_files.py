@@ -12,6 +12,11 @@ manifest's running sum gives every shard's base, so a document's place in the
 whole stream is base + offset. ``read`` maps the files into memory where the
 folder is a local one, and reads the byte ranges otherwise.
 
+The tokenizers library encodes every text. Where its pre-tokenizer can only
+break at a single blank between two other characters, a text is cut there
+first, and the library's ids of a piece are remembered for the task, so that a
+word is encoded once and not at each occurrence.
+
 Defined results: a null or empty text is a document of the end id alone; null
 doc_ids come first; rows of equal doc_id are ordered by a hash of the text;
 an empty table writes no shard; other columns are ignored. ``<|...|>`` strings
@@ -20,9 +25,12 @@ in a text are ordinary text.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +49,52 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+class Encoder:
+    """Texts to the bytes of their ids. Remembers pieces of at most ``LONGEST`` characters, about ``MOST`` of them."""
+
+    # other than white space, in any Unicode version
+    DARK = "[^\\s\\u180e\\u200b\\ufeff]"
+    CUT = re.compile(f" (?<={DARK} )(?={DARK})")
+    LONGEST, MOST = 64, 600_000
+
+    def __init__(self, tokenizer_path: str, end_id: int) -> None:
+        from tokenizers import Tokenizer
+        self.tok = Tokenizer.from_file(tokenizer_path)
+        self.tok.encode_special_tokens = True
+        self.width = 2 if max(self.tok.get_vocab_size() - 1, end_id) < 1 << 16 else 4
+        spec = json.loads(self.tok.to_str())
+        first = spec["pre_tokenizer"] or {}
+        # a match of the byte-level pattern holds a blank before other characters, never after them
+        self.cuts = (first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not spec["normalizer"]
+                     and not spec["post_processor"] and not spec["truncation"] and not spec["padding"] and not spec["model"].get("dropout")
+                     and all(t["special"] for t in spec["added_tokens"]))
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        kind = f"<u{self.width}"
+        encoded = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        data = np.fromiter(chain.from_iterable(encoded), dtype=kind).tobytes()
+        ends = [0, *accumulate(len(ids) * self.width for ids in encoded)]
+        return [data[a:b] for a, b in pairwise(ends)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return self.whole(texts)
+        pieces = [self.CUT.split(t) for t in texts]
+        heads = self.whole([p.pop(0) for p in pieces])
+        rest = set().union(*pieces)
+        new = list(rest.difference(self.known))
+        known = self.known
+        known.update(zip(new, self.whole([f" {w}" for w in new]), strict=True))
+        out = [h + b"".join(map(known.__getitem__, p)) for h, p in zip(heads, pieces, strict=True)]
+        for w in new:
+            if len(w) > self.LONGEST:
+                del known[w]
+        if len(known) > self.MOST:  # the pieces of the last texts stay
+            self.known = {w: known[w] for w in rest.intersection(known)} if len(rest) < self.MOST else {}
+        return out
+
+
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
     """Encode and write every document; the manifest, with every shard's base."""
     spark = docs.sparkSession
@@ -48,8 +102,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
-        tok = None
+        encoder = None
         fs, root = filesystem(folder)
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
@@ -58,19 +111,17 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | N
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for batch in batches:
             for part in slices(batch, 4 << 20):
-                if tok is None:
-                    tok = Tokenizer.from_file(tokenizer_path)
-                    tok.encode_special_tokens = True
-                    width = 2 if max(tok.get_vocab_size() - 1, end_id) < 1 << 16 else 4
+                if encoder is None:
+                    encoder = Encoder(tokenizer_path, end_id)
+                    width = encoder.width
+                    end = end_id.to_bytes(width, "little")
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{root}/{name}.bin", compression=None)
-                texts = part.column("text").to_pylist()
                 doc_ids.append(part.column("doc_id").fill_null(NO_ID).to_numpy())
-                for enc in tok.encode_batch_fast(texts, add_special_tokens=False):
-                    ids = np.array([*enc.ids, end_id], dtype=f"<u{width}")
+                for ids in encoder.encode(part.column("text").to_pylist()):
                     ends.append(total)
-                    total += len(ids)
-                    out.write(ids.tobytes())
+                    total += len(ids) // width + 1
+                    out.write(ids + end)
         if out is None:
             return
         out.close()

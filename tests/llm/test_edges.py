@@ -144,6 +144,9 @@ def test_pii_edges(docs, none):
 
 # ---- 3 token files -----------------------------------------------------
 
+ENCODER = token_files.Encoder(queries.TOKENIZER, 0)
+
+
 def test_token_files_round_trip(spark, docs):
     manifest = token_files.write(docs, queries.TOKENIZER)
     got = sorted(rows(token_files.read(manifest, 4)), key=lambda r: r["start"])
@@ -161,6 +164,21 @@ def test_token_files_round_trip(spark, docs):
     assert not any(v for c in want.values() for v in c.values())
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"ab Z9 '.,_~! st  \n\t\r\x0b\x1c", "\u00a0", "\u0301", "\u3000", "\u00e9", "\u4e2d", "\u0967", "\U0001F600", "<|endoftext|>", "'s", " 're"]), max_size=60).map("".join), max_size=4))
+def test_pieces_encode_as_whole_texts(texts):
+    assert ENCODER.cuts
+    assert ENCODER.encode(texts) == ENCODER.whole(texts)
+
+
+def test_pieces_forgotten_and_long(monkeypatch):
+    monkeypatch.setattr(token_files.Encoder, "MOST", 5)
+    enc = token_files.Encoder(queries.TOKENIZER, 0)
+    for texts in ([LONG, "x" * 5000 + " y " + "z" * 300], ["", "a b", "w1 w2 w3"], [LONG]):
+        assert enc.encode(texts) == enc.whole(texts)
+        assert all(len(w) <= enc.LONGEST for w in enc.known)
+
+
 def test_token_files_empty(none):
     assert rows(token_files.read(token_files.write(none, queries.TOKENIZER), 1)) == []
 
