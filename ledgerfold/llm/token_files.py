@@ -14,8 +14,8 @@ folder is a local one, and reads the byte ranges otherwise.
 
 The tokenizers library encodes every text. Where its pre-tokenizer can only
 break at a single blank between two other characters, a text is cut there
-first, and the library's ids of a piece are remembered for the task, so that a
-word is encoded once and not at each occurrence.
+first, and the library's ids of a piece are remembered by the worker process,
+also from task to task, so that a word is not encoded at each occurrence.
 
 Defined results: a null or empty text is a document of the end id alone; null
 doc_ids come first; rows of equal doc_id are ordered by a hash of the text;
@@ -30,6 +30,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate, chain, pairwise
 
 import numpy as np
@@ -95,6 +96,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(tokenizer_path: str, end_id: int) -> Encoder:
+    """One encoder for each worker process, with what it remembers."""
+    return Encoder(tokenizer_path, end_id)
+
+
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
     """Encode and write every document; the manifest, with every shard's base."""
     spark = docs.sparkSession
@@ -112,7 +119,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | N
         for batch in batches:
             for part in slices(batch, 4 << 20):
                 if encoder is None:
-                    encoder = Encoder(tokenizer_path, end_id)
+                    encoder = encoder_of(tokenizer_path, end_id)
                     width = encoder.width
                     end = end_id.to_bytes(width, "little")
                     fs.create_dir(root, recursive=True)
