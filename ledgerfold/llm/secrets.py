@@ -10,10 +10,18 @@ alphabet that holds it), and three tests of it:
   letters of one case),
 * serial correlation of neighbouring symbols' ranks in the alphabet.
 
-Each p-value is the chance that a structured string (words, counters, repeated
-symbols; the reference figures are in ``ENCODINGS``) of that length looks as
-random in that respect. A secret must look random in every respect, so the
-largest of the three counts (an intersection-union test). Within each band of
+A structured string is made of words (skewed symbols, few changes of class) or
+of a sequence (counters, repeats, alternations: neighbours go together). The
+p-values of chi-squared and runs, the chances that words of that length look as
+random (the reference figures are in ``ENCODINGS``), are combined by Fisher's
+method: neither alone can be small at 20 to 40 characters, and the neighbours'
+ranks say nothing about words. The serial test's p-value is the chance that a
+sequence (correlation ``SEQUENCE`` or more, either sign) shows so little. A
+secret must be neither, so the larger of the two counts (an intersection-union
+test); and it must look random in every respect, so a string that one of the
+three tests tells from a uniformly random one (``APART``, about one random
+string in 200; the serial test also looks at the steps between neighbours, as
+counters may start again) gets the p-value 1. Within each band of
 lengths, a step-up procedure over all strings of the corpus holds the expected
 share of false discoveries at ``FDR``; it needs the counts of p-values on a
 fixed grid alone. Runs of digits alone are never called random: they are
@@ -29,6 +37,8 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,19 +50,22 @@ BASE = [("assign", ASSIGN, 12), ("access", r"AKIA[A-Z0-9]{14,}", 18), ("hex", r"
 RANDOM = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 FDR = 0.01
 BANDS = [20, 28, 40, 64, 128, 512]  # lower ends of the bands of lengths
+SEQUENCE = 0.9
+APART = {"chi": 4.0, "runs": 3.5, "serial": 3.3, "steps": 6.9}  # the last: the squared resultant over the number of steps (chance 0.001)
 GRID = 20  # steps of -log10(p)
 MOST = 400
 
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # fixed values: encoding, pattern, alphabet, sum of squared symbol shares of structured strings,
-# share of class changes between neighbours in structured strings, and whether random strings change more often
+# share of class changes between neighbours in structured strings (0.40 where camel case, paths and snake case
+# of short words are possible), and whether random strings change more often
 ENCODINGS = [
     ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", 0.12, 0.15, True),
     ("lower", r"^[a-z]+$", LOWER, 0.07, 0.60, False),
     ("upper", r"^[A-Z]+$", UPPER, 0.07, 0.60, False),
     ("base32", r"^[A-Z2-7]+=*$", UPPER + "234567", 0.07, 0.10, True),
-    ("base62", r"^[A-Za-z0-9]+$", DIGITS + UPPER + LOWER, 0.06, 0.12, True),
-    ("base64", r"^[A-Za-z0-9+/_-]+=*$", DIGITS + UPPER + LOWER + "+/-_", 0.06, 0.15, True),
+    ("base62", r"^[A-Za-z0-9]+$", DIGITS + UPPER + LOWER, 0.06, 0.40, True),
+    ("base64", r"^[A-Za-z0-9+/_-]+=*$", DIGITS + UPPER + LOWER + "+/-_", 0.06, 0.40, True),
 ]
 
 
@@ -86,16 +99,28 @@ def symbols(x: Column, alphabet: str) -> Column:
         kinds = F.translate(f, DIGITS + UPPER + LOWER + "+/-_", "d" * 10 + "u" * 26 + "l" * 26 + "ssss")
         runs = F.length(F.regexp_replace(kinds, "d+|u+|l+|s+", "x"))
     ranks = F.transform(F.split(f, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("s", "ss", "lag", "before")])
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("s", "ss", "lag", "cos", "sin", "before")])
+    turn = 2 * math.pi / len(alphabet)
     sums = F.aggregate(ranks, zero, lambda acc, r: F.struct(
-        (acc["s"] + r).alias("s"), (acc["ss"] + r * r).alias("ss"), (acc["lag"] + acc["before"] * r).alias("lag"), r.alias("before")))
+        (acc["s"] + r).alias("s"), (acc["ss"] + r * r).alias("ss"), (acc["lag"] + acc["before"] * r).alias("lag"),
+        (acc["cos"] + F.cos((r - acc["before"]) * turn)).alias("cos"), (acc["sin"] + F.sin((r - acc["before"]) * turn)).alias("sin"), r.alias("before")))
     rank = lambda c: F.instr(F.lit(alphabet), c).cast("double")
     return F.struct(n.alias("n"), squares.alias("squares"), runs.cast("double").alias("runs"), sums.alias("sums"),
                     rank(F.substring(f, 1, 1)).alias("first"), rank(F.substring(f, -1, 1)).alias("last"))
 
 
+def change_share(alphabet: str) -> float:
+    """Chance that neighbours in a uniformly random string are of different classes (those of ``symbols``)."""
+    if alphabet in (LOWER, UPPER):
+        kinds = [sum(c in "aeiou" for c in alphabet.lower())]
+        kinds.append(len(alphabet) - kinds[0])
+    else:
+        kinds = [sum(c in kind for c in alphabet) for kind in (DIGITS, UPPER, LOWER, "+/-_")]
+    return 1 - sum((x / len(alphabet)) ** 2 for x in kinds)
+
+
 def battery(x: Column, alphabet: str, share: float, change: float, more: bool) -> Column:
-    """The largest of the three p-values from the sums ``x``."""
+    """The p-value of a string from its sums ``x``."""
     k, n = len(alphabet), x["n"]
     chi = x["squares"] * k / n - n
     delta = k * share - 1
@@ -107,9 +132,17 @@ def battery(x: Column, alphabet: str, share: float, change: float, more: bool) -
     mean = s / n
     var = ss - n * mean * mean
     r = F.when(var > 1e-9, (lag - mean * (2 * s - x["first"] - x["last"]) + most * mean * mean) / var).otherwise(1.0)
-    # structured: neighbours go together (counters, repeats) or alternate; both signs are held against it
-    p_serial = normal_cdf((F.abs(r) - 0.6) * F.sqrt(n))
-    return F.greatest(p_chi, p_runs, p_serial)
+    # both signs are held against it: neighbours of a sequence go together or alternate
+    p_serial = normal_cdf((F.atanh(F.least(F.abs(r), F.lit(0.9999))) - math.atanh(SEQUENCE)) * F.sqrt(n - 3))
+    p_words = p_chi * p_runs * (1 - F.log(p_chi * p_runs))  # Fisher's method for two
+    # steps from rank to rank as turns round the alphabet: a counter's agree, also where it starts again
+    turn = 2 * math.pi / k
+    steps = F.pow(x["sums"]["cos"] - F.cos(x["first"] * turn), F.lit(2.0)) + F.pow(x["sums"]["sin"] - F.sin(x["first"] * turn), F.lit(2.0))
+    q = change_share(alphabet)
+    uniform = ((chi - (k - 1) <= APART["chi"] * math.sqrt(2 * (k - 1)))
+               & (F.abs(changes - most * q) <= APART["runs"] * F.sqrt(most * q * (1 - q)))
+               & (F.abs(r + 1 / n) <= APART["serial"] / F.sqrt(n)) & (steps <= APART["steps"] * most))
+    return F.when(uniform, F.greatest(p_words, p_serial)).otherwise(1.0)
 
 
 def tested(runs: Column) -> Column:

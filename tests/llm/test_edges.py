@@ -376,6 +376,36 @@ def test_secret_battery_tells_random_from_structured(spark):
     assert len(hit & set(range(40))) >= 36 and not hit & set(range(40, 80))
 
 
+def structured_strings(rng, n):
+    """Identifiers, paths, joined words, counters and repeats of 20 to 40 characters."""
+    words = ("the report data table index value count total order client server request response error message time date user group name list item price "
+             "stock market change update create delete record history contract amount payment status report summary detail account number customer "
+             "product delivery schedule quality control process system network module function string object method class package version").split()
+    out = []
+    for i in range(n):
+        w = [words[x] for x in rng.integers(0, len(words), 9)]
+        start, step = int(rng.integers(0, 26)), int(rng.integers(1, 4))
+        text = [w[0] + "".join(x.title() for x in w[1:]), "".join(w), "_".join(w), "/".join(w[:8]), "".join(w).upper(), "-".join(w), "".join(x.title() for x in w) + str(i),
+                "".join(chr(97 + (start + step * x) % 26) for x in range(40)), f"{i:x}".rjust(40, "0") if i % 2 else "deadbeef" * 5, "".join(w).upper() + "234"][i % 10]
+        out.append(text[:int(rng.integers(20, 41))] if i % 10 != 8 else text[-int(rng.integers(20, 41)):])
+    return out
+
+
+def test_secret_battery_finds_short_random_strings(spark):
+    """Random strings of 20 to 40 characters of each encoding, one for three structured ones in the corpus."""
+    rng = np.random.default_rng(7)
+    alphabets = {code: alphabet for code, _, alphabet, *_ in secrets.ENCODINGS}
+    planted = [(code, n, "".join(a[x] for x in rng.integers(0, len(a), n))) for code, a in alphabets.items() for n in (20, 24, 28, 32, 40) for _ in range(40)]
+    plain = structured_strings(rng, 3 * len(planted))
+    d = spark.createDataFrame(list(enumerate(["id " + x + " end" for x in [t for *_, t in planted] + plain])), "doc_id long, text string")
+    hit = {r["doc_id"] for r in rows(secrets.scan(d)) if any(x["kind"] == "random" for x in r["spans"])}
+    found = Counter((code, n) for k, (code, n, _) in enumerate(planted) if k in hit)
+    wrong = [plain[k - len(planted)] for k in sorted(hit) if k >= len(planted)]
+    assert min(found[code, n] for code in alphabets for n in (20, 24, 28, 32, 40)) >= 12, found
+    assert all(found[code, n] >= 26 for code in alphabets for n in (28, 32, 40)), found
+    assert len(wrong) <= 0.02 * len(hit), wrong
+
+
 def test_op7_on_documents(spark):
     got = {r["doc_id"]: r for r in rows(queries.op7_secret_scan(spark, SF))}
     for d in pq.read_table(f"{SF}/documents.parquet").to_pylist():
