@@ -8,7 +8,8 @@ item's block (pigeonhole), and the index holds all such block values, so no
 fingerprint within the radius is missed. Candidates are verified exactly:
 weighted Jaccard similarity of the two multisets of five-word shingles (weight:
 how often a shingle occurs), at least 0.75. Windows that share no shingle with
-any item have similarity 0 and are not fingerprinted.
+any item have similarity 0 and are not fingerprinted. A document of fewer words
+than an item is one window, itself (an item whose end was cut off, say).
 
 The radius covers what a similarity of 0.75 can change: at most one word in
 eight of a window (its ends cut off or written over), an angle of 29 degrees, about 41 of 256
@@ -105,12 +106,15 @@ class ItemIndex:
         if not hits:
             return best
         bits = None
-        for size, rows in self.by_size.items():
-            k = min(size, self.width)
-            if size > n or k not in hits:
+        for length, rows in self.by_size.items():
+            k = min(length, self.width)
+            size = min(length, n)  # a document with fewer words than the items is one window, itself
+            if k not in hits:
                 continue
             sh, before = hits[k]
             count = size - k + 1
+            if count < threshold * (length - k + 1):
+                continue
             starts = np.flatnonzero(before[count:] > before[:len(before) - count])
             starts = starts[starts <= n - size]
             if not len(starts):
@@ -122,7 +126,7 @@ class ItemIndex:
                 finger = fingerprints(bits, s, size)
                 probe = near[np.arange(16)[None, :], finger].any(axis=1)
                 s, finger = s[probe], finger[probe]
-                for (item_id, own, _), theirs in zip(rows, self.fingers[size], strict=True):
+                for (item_id, own, _), theirs in zip(rows, self.fingers[length], strict=True):
                     apart = np.bitwise_count(finger ^ theirs).sum(axis=1)
                     for x in s[apart <= RADIUS].tolist():
                         got = weighted_similarity(sh[x:x + count], own)

@@ -464,6 +464,27 @@ def test_decontaminate_against_brute_force(spark):
     assert all(not r["matches"] for r in rows(decontaminate.find(d, b.limit(0)))) and rows(decontaminate.find(d.limit(0), b)) == []
 
 
+def test_decontaminate_documents_shorter_than_the_item(spark):
+    """Items whose ends are cut off, as whole documents: against the similarity of the two whole texts."""
+    rng = np.random.default_rng(6)
+    items = [(k, [f"t{x}" for x in rng.integers(0, 300, n)]) for k, n in enumerate([6, 8, 12, 14, 20, 30, 45, 59, 59, 80, 120, 200])] + [(50, ["a"] * 12), (51, "short item".split())]
+    docs = [(len(own) * 1000 + a * 100 + n, own[a:a + n]) for _, own in items for a in (0, 1, 3) for n in range(max(1, len(own) // 2), len(own) - a + (a > 0))]
+    multi = lambda w: Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+
+    def similar(a, b):
+        low = sum((multi(a) & multi(b)).values())
+        return low / (sum(multi(a).values()) + sum(multi(b).values()) - low)
+
+    want = Counter()
+    for i, w in docs:
+        ids = {item for item, own in items for s in range(max(1, len(w) - len(own) + 1)) if similar(w[s:s + len(own)], own) >= 0.75}
+        want[i, tuple(sorted(ids))] += 1
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = Counter((r["doc_id"], tuple(m["item_id"] for m in r["matches"])) for r in rows(decontaminate.find(d, b)))
+    assert got == want and sum(bool(ids) for _, ids in got) >= 60
+
+
 def test_decontaminate_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEMS", 8)
     d, b = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/benchmark.parquet")
