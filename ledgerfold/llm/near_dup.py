@@ -17,7 +17,12 @@ process), others part. A node ends
 Comparisons look at the signatures' agreement (a bound five and a half standard
 deviations under the threshold) and then confirm the link on the whole shingle
 sets. Links between members of one component are not confirmed again. The
-number of trees follows from the target recall of one link.
+number of trees follows from the target recall of one link for walks of DEPTH
+generations. Members of nodes that go on after those walk in more trees, as
+many as walks of twice the depth need, and so on until no node goes on for
+longer than the trees were sized for. The steps share the allowance for lost
+links (each may lose half of what the step before may), so that all of them
+together hold the target.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; fewer words
 than a shingle's width are one shingle; texts without words (null ones too)
@@ -33,6 +38,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +52,7 @@ ENTRY = "node long, class binary, sig binary"
 WIDTH, THRESHOLD, RECALL = 5, 0.75, 0.9999
 FEW = 32  # a node with no more members outside its largest component is compared exhaustively
 SMALL = 256  # and so is a node with no more members
+DEPTH = 4  # generations that the first trees are sized for
 
 
 def survival(threshold: float, depth: int) -> float:
@@ -145,6 +152,21 @@ def _children(threshold: float):
     return run
 
 
+def _more_roots(threshold: float, low: int, high: int):
+    """Rows (class, sig) to the roots' children in the trees from ``low`` to ``high`` - 1."""
+    roots = [(t, c) for t, c in root_plan(threshold, high) if t >= low]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint8).reshape(n, COORDINATES)
+            for t, c in roots:
+                root = mix(np.array([t * 0xD6E8FEB86659FD93 + c & MASK64], dtype=U64))
+                node = mix(root + sig[:, c] + U64(1))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(node), pa.int64()), batch.column("class"), batch.column("sig")], names=["node", "class", "sig"])
+    return run
+
+
 def _close(least: int):
     """Rows of a node's member with the node's probes -> plausible pairs."""
 
@@ -253,7 +275,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     pct = round(threshold * 100)
     least = max(1, math.floor(COORDINATES * threshold - 5.5 * math.sqrt(COORDINATES * threshold * (1 - threshold))))
-    trees = trees_for(threshold, recall)
+    # chance that a link is lost: six tenths of the allowance in the first trees, the rest in the steps after them
+    trees, depth, sized = trees_for(threshold, 1 - 0.6 * (1 - recall), DEPTH), 0, DEPTH
+    lost = 0.4 * (1 - recall)
     d = docs_view(docs, id_col, text_col)
     rows = written(map_rows(d.withColumn("tie", F.xxhash64("text")), _class_rows(threshold, trees, width), "doc_id long, tie long, class binary, n_shingles long, roots array<long>, sig binary"), "rows")
     classes = written(rows.filter("n_shingles > 0").groupBy("class").agg(
@@ -263,7 +287,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     level = written(entries.join(sizes, "node", "left_semi"), "level")
     comp = spark.createDataFrame([], "member binary, comp binary")
     texts = None
-    while level.take(1):
+    deep: dict[int, list[DataFrame]] = {}  # members of nodes that go on at DEPTH generations, twice as many, ...
+    while True:
+        if not level.take(1):
+            if sized not in deep:
+                break
+            members = written(reduce(DataFrame.unionByName, deep[sized]).dropDuplicates(["class"]), "deep")
+            if not members.take(1):
+                break
+            lost, sized, depth = lost / 2, 2 * sized, 0
+            before, trees = trees, trees_for(threshold, 1 - lost, sized)
+            grown = written(members.mapInArrow(_more_roots(threshold, before, trees), ENTRY), "more")
+            level = _shared(grown)
+            continue
         placed = level.join(comp.withColumnRenamed("member", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
         placed = written(placed.select("node", "class", "sig", "comp"), "placed")
         by_comp = placed.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
@@ -288,11 +324,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             live = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(big.select("class")).distinct()
             texts = _texts(d, rows, live)
         comp = _confirm(pairs, comp, texts, pct, width, first)
+        if depth >= sized and depth % DEPTH == 0 and (depth // DEPTH).bit_count() == 1:
+            deep.setdefault(depth, []).append(big.select("class", "sig"))
         # two generations at a time
+        depth += 2
         grown = big.mapInArrow(_children(threshold), ENTRY).mapInArrow(_children(threshold), ENTRY)
         grown = written(grown, "children")
-        alive = grown.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
-        level = written(grown.join(alive, "node"), "level")
+        level = _shared(grown)
     ids = classes.select("class", "first_id").join(comp.withColumnRenamed("member", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     low = ids.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     of = ids.join(low, "comp").select("class", "component_id")
@@ -302,6 +340,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _shared(grown: DataFrame) -> DataFrame:
+    """The rows of ``grown`` whose node has two members at least."""
+    alive = grown.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
+    return written(grown.join(alive, "node"), "level")
+
+
 def _texts(d: DataFrame, rows: DataFrame, live: DataFrame) -> DataFrame:
     """(class, text) of the classes in ``live``, from one document of each."""
     one = rows.join(live, "class", "left_semi").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")).alias("x")).select(

@@ -274,6 +274,19 @@ def test_near_dup_groups_chains_and_branching(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == near_brute(data)
 
 
+def test_near_dup_links_in_a_deep_group(spark, monkeypatch):
+    """Documents of similarity 0.5 by one shared passage, in pairs of exactly 0.75, in nodes that go on past the first depth: more trees follow, all links are found."""
+    monkeypatch.setattr(near_dup, "FEW", 1)
+    monkeypatch.setattr(near_dup, "SMALL", 10)
+    sized, trees_for = [], near_dup.trees_for
+    monkeypatch.setattr(near_dup, "trees_for", lambda threshold, recall, depth=4: sized.append(depth) or trees_for(threshold, recall, depth))
+    passage = " ".join(f"p{x}" for x in range(60))
+    data = [(i, passage + "".join(f" o{i // 2}x{k}" for k in range(16)) + "".join(f" u{i}x{k}" for k in range(12))) for i in range(40)]
+    got = rows(near_dup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == near_brute(data)
+    assert sized[:2] == [4, 8]
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(500 + i, 501 + i) for i in range(40)] + [(900, 900)]
