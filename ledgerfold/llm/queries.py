@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import bpe, decontaminate, exact_dedup, near_dup, pii, quality_crf, secrets, substring_dedup, token_files, warc
+from ledgerfold.llm import (bpe, centroids, decontaminate, exact_dedup, fingerprint, importance, near_dup, pii, quality_crf, secrets, substring_dedup,
+                            token_files, warc)
 from ledgerfold.llm.common import docs_view
 from ledgerfold.sources.tables import table
 
@@ -76,10 +77,86 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, RANKS).select("doc_id", *bpe.digest_columns())
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark texts."""
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    out = rows.join(F.broadcast(centroids.summary(rows, found)), "cluster")  # a row per cluster
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fingerprint.edited_halves(table(spark, sf_dir, "documents"))
+    a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return f.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint.text_form(a).alias("fingerprint"),
+                    fingerprint.text_form(b).alias("edited_fingerprint"), fingerprint.resemblance(a, b).alias("near_edited"),
+                    fingerprint.resemblance(a, c).alias("near_next"), fingerprint.n_distinct(a).alias("shingles"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_exact_dedup, op2_pii_surrogates, op3_token_files, op4_warc, op5_near_dup, op6_substring_dedup, op7_secret_scan, op8_decontaminate, op9_quality_crf, op10_bpe)}
+    op1_exact_dedup, op2_pii_surrogates, op3_token_files, op4_warc, op5_near_dup, op6_substring_dedup, op7_secret_scan, op8_decontaminate, op9_quality_crf, op10_bpe,
+    op11_importance, op12_centroids, op13_fingerprints)}
+
+
+
+def _clustering_sql(clusters: int = centroids.CLUSTERS, rounds: int = centroids.ROUNDS, seed: int = centroids.SEED) -> str:
+    """The rounds written out, with every vector compared with every centroid."""
+    parts = [f"""v as materialized (select vec_id, list_transform(embedding, lambda x: cast(floor({centroids.SCALE} * cast(x as double)) as bigint)) as x from embeddings
+        where len(embedding) = {centroids.COMPONENTS} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {centroids.COMPONENTS}),
+        c0 as materialized (select row_number() over (order by sha256('{seed}:' || vec_id)) - 1 as c, x as m from v order by sha256('{seed}:' || vec_id) limit {clusters})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""d{r} as (select vec_id, x, c, list_sum(list_transform(range({centroids.COMPONENTS}), lambda i: (x[i + 1] - m[i + 1]) * (x[i + 1] - m[i + 1]))) as d from v, c{r}),
+        a{r} as materialized (select vec_id, any_value(x) as x, arg_min(c, (d, c)) as c, min(d) as d from d{r} group by vec_id)""")
+        if r < rounds:
+            parts.append(f"""s{r} as (select c, i, sum(x[i]) as s, count(*) as n from a{r}, range(1, {centroids.COMPONENTS} + 1) as t(i) group by c, i),
+        f{r} as (select c, list(cast((s - ((s % n) + n) % n) / n as bigint) order by i) as m from s{r} group by c),
+        c{r + 1} as materialized (select c, coalesce(f{r}.m, c{r}.m) as m from c{r} left join f{r} using (c))""")
+    return f"""with {", ".join(parts)}
+        select vec_id, cast(c as int) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia,
+          cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(m, ',')) as centroid_sha256 from a{rounds} join c{rounds} using (c)"""
+
 
 SQL: dict[str, str] = {
+    "op11_importance": f"""
+        with x as (select 'd' as src, doc_id as id, text from documents union all select 'b', item_id, text from benchmark),
+        w as (select src, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from x),
+        f as materialized (select src, id, f, count(*) as n from (select src, id, unnest([w, w || ' ' || lead(w) over (partition by src, id order by i)]) as f
+            from (select src, id, unnest(ws) as w, generate_subscripts(ws, 1) as i from w)) where f is not null group by all),
+        h as (select f, hex(encode(f)) as b from (select distinct f from f)),
+        b as materialized (select f, xor(list_reduce(list_transform(range(len(b) // 2), lambda i: cast('0x' || b[2 * i + 1:2 * i + 2] as bigint)),
+            lambda c, y: list_reduce(range(8), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)), xor(c, y)), 4294967295), 4294967295) % {importance.BUCKETS} as bucket from h),
+        c as (select bucket, coalesce(sum(n) filter (src = 'd'), 0) as s, coalesce(sum(n) filter (src = 'b'), 0) as t from f join b using (f) group by 1),
+        z as (select sum(s) as s, sum(t) as t from c),
+        g as materialized (select bucket, cast(floor(1000 * ln((cast(c.t as double) + 1) * (cast(z.s as double) + {importance.BUCKETS}) / ((cast(c.s as double) + 1) * (cast(z.t as double) + {importance.BUCKETS})))) as bigint) as gain from c, z),
+        q as (select id as doc_id, sum(n) as k, sum(n * gain) as total from f join b using (f) join g using (bucket) where src = 'd' group by 1),
+        p as (select w.id as doc_id, len(ws) as n_words, cast(coalesce(k, 0) as bigint) as n_features, cast(coalesce((total - ((total % k) + k) % k) / k, 0) as bigint) as weight,
+            cast('0x' || sha256('{importance.SEED}:' || w.id)[1:8] as bigint) as h from w left join q on q.doc_id = w.id where src = 'd'),
+        e as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as score from p),
+        r as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from e where n_words >= {importance.LEAST_WORDS})
+        select e.doc_id, n_features, weight, score, case when rank <= {importance.PERCENT} * r.n // 100 then rank end as rank from e left join r using (doc_id)""",
+    "op12_centroids": _clustering_sql(),
+    "op13_fingerprints": f"""
+        with d as materialized (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n_chars from documents),
+        l as (select *, coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as after from d),
+        e as materialized (select doc_id, n_chars, text, left(text, n_chars - n_chars // 2) || left(after, n_chars // 2) as edited, after from l),
+        s as materialized (select doc_id, kind, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BLANK}+'), lambda x: x <> '') as ws
+            from (select doc_id, 'own' as kind, text as t from e union all select doc_id, 'edited', edited from e union all select doc_id, 'next', after from e)),
+        h as (select doc_id, kind, left(md5(array_to_string(ws, ' ')), {fingerprint.DIGITS}) as h from s where len(ws) between 1 and {fingerprint.WIDTH - 1} union
+            select doc_id, kind, left(md5({" || ' ' || ".join(["w"] + [f"lead(w, {i}) over o" for i in range(1, fingerprint.WIDTH)])}), {fingerprint.DIGITS})
+            from (select doc_id, kind, unnest(ws) as w, generate_subscripts(ws, 1) as i from s) window o as (partition by doc_id, kind order by i)),
+        k as (select s.doc_id, s.kind, coalesce(sk, []) as sk from s left join (select doc_id, kind, list(h order by h)[1:{fingerprint.K}] as sk from h where h is not null group by 1, 2) x
+            on x.doc_id = s.doc_id and x.kind = s.kind),
+        p as (select doc_id, any_value(sk) filter (kind = 'own') as a, any_value(sk) filter (kind = 'edited') as b, any_value(sk) filter (kind = 'next') as c from k group by 1),
+        u as (select *, list_sort(list_distinct(list_concat(a, b)))[1:{fingerprint.K}] as ab, list_sort(list_distinct(list_concat(a, c)))[1:{fingerprint.K}] as ac from p)
+        select doc_id, n_chars, sha256(edited) as edited_sha256, array_to_string(a, ',') as fingerprint, array_to_string(b, ',') as edited_fingerprint,
+          case when len(ab) = 0 then 1.0::double else len(list_intersect(list_intersect(ab, a), b))::double / len(ab) end as near_edited,
+          case when len(ac) = 0 then 1.0::double else len(list_intersect(list_intersect(ac, a), c))::double / len(ac) end as near_next,
+          case when len(a) < {fingerprint.K} then len(a)::double else {fingerprint.K - 1}::double / (cast('0x' || left(a[-1], 13) as bigint)::double / {16 ** 13}::double) end as shingles
+        from u join e using (doc_id)""",
     "op1_exact_dedup": f"""
         with d as (select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '{BLANK}', '', 'g')) as text_sha256 from documents),
         g as (select text_sha256, arg_min(doc_id, (-n, doc_id)) as keep_id, count(*) as group_size from d group by 1)
