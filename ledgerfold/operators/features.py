@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions import scalars
 from ledgerfold.operators.filters import top_n_values
+from ledgerfold.operators.quantiles import median
 
 MAX_LEVELS = 256
 
@@ -21,9 +22,8 @@ CALENDAR_DEFAULTS = {"contract_start_year": None, "contract_start_quarter": 1, "
 
 
 def median_impute(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """NULL → exact median of the non-NULL values (one scalar subquery)."""
-    med = df.agg(F.median(F.col(col).cast("double"))).scalar()
-    return df.withColumn(out or col, F.coalesce(F.col(col).cast("double"), med))
+    """NULL → exact median of the non-NULL values (found by distributed selection)."""
+    return df.withColumn(out or col, F.coalesce(F.col(col).cast("double"), F.lit(median(df, col)).cast("double")))
 
 
 def fill_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
@@ -82,7 +82,7 @@ def structured_features(df: DataFrame, base_col: str = "initial_cost") -> DataFr
     f = f.withColumn("psc_category4", scalars.psc_category4("psc"))
     for c, default in CALENDAR_DEFAULTS.items():
         if c in f.columns:
-            fill = f.agg(F.median(F.col(c).cast("double"))).scalar().cast("int").cast("double") if default is None else F.lit(float(default))
+            fill = F.lit(median(f, c)).cast("int").cast("double") if default is None else F.lit(float(default))
             f = f.withColumn(c, F.coalesce(F.col(c).cast("double"), fill))
     if "contract_duration_planned_days" in f.columns:
         f = f.withColumn("log_duration_days", scalars.signed_log("contract_duration_planned_days"))

@@ -7,10 +7,14 @@ is formed:
 * substring (J9): if a name occurs in a text, the name's interior
   whitespace tokens occur there as whole tokens; each name is joined on its
   *rarest* interior token bigram, then ``contains`` verifies. Names with
-  fewer than four tokens have no interior bigram and are looked for in all
-  texts, in blocks of about ``SHORT_NAMES``.
+  fewer than four tokens have one anchor: the middle token of three, the longer
+  of two, a single one. Anchors meet the distinct tokens of all texts (the
+  vocabulary, not the texts) through an index of character 3-grams, again by
+  the anchor's rarest gram, and the tokens that hold an anchor lead to texts.
 * token (J8/G3): distinctive tokens (parenthesised acronyms, tokens mixing
-  letters and digits) joined on equality.
+  letters and digits) joined on equality; or the k best documents of each
+  program by inverse document frequency, which stays small however many
+  documents share a token.
 * fuzzy (J10): token-set Jaccard ≥ t found with the exact prefix filter:
   tokens ordered by (document frequency, token); two sets with Jaccard ≥ t
   share a token within their first |s| − ceil(t·|s|) + 1 tokens.
@@ -20,14 +24,16 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerfold.session import materialize
+
 ACRONYM = r"\(([A-Z0-9 -]+)\)"
 MODEL_NUMBER = r"^([A-Za-z]+-?[0-9][A-Za-z0-9-]*|[0-9]+-?[A-Za-z][A-Za-z0-9-]*)$"
 
-
-SHORT_NAMES = 10_000
+GRAM = 3
+RARE = 1000  # a token of more documents is common: it is scored, but leads to documents by their classes alone
 
 
 def _tokens(col):
@@ -51,6 +57,50 @@ def link_token(programs: DataFrame, p_key: str, p_name: str, docs: DataFrame, d_
               .withColumn("match_score", F.lit(100)).withColumn("match_type", F.lit("token_match")))
 
 
+def token_weights(doc_tokens: DataFrame, d_key: str, docs: DataFrame) -> DataFrame:
+    """(token, df, weight): inverse document frequency in thousandths, 1000 ln(1 + N / df) floored, so that sums are exact."""
+    n = docs.select(d_key).distinct().agg(F.count(F.lit(1))).scalar()
+    df = doc_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return df.withColumn("weight", F.floor(1000 * F.log(1 + n / F.col("df"))).cast("bigint"))
+
+
+def link_token_top(programs: DataFrame, p_key: str, p_name: str, docs: DataFrame, d_key: str, d_text: str, k: int = 5, rare: int = RARE) -> DataFrame:
+    """J8, weighted: the k documents that share the most weight of distinctive tokens with each program (ties to the
+    smaller document key) -> (p_key, d_key, weight, n_shared, rank).
+
+    Two phases. Documents that share a rare token are scored on those alone; where a program's k-th best such score
+    beats the sum of all its common tokens, no other document can be among its k best. The other programs also meet, of
+    each set of common tokens that documents have, the k documents of smallest key: documents without a shared rare
+    token score by that set alone. Common tokens are then added to the candidates' scores. So a token that all
+    documents hold costs k rows a set, not a row a document.
+    """
+    pt = materialize(distinctive_tokens(programs, p_key, p_name).select(F.col(p_key).alias("_p"), "token").filter(F.col("_p").isNotNull()).distinct())
+    dt = distinctive_tokens(docs, d_key, d_text).select(F.col(d_key).alias("_d"), "token").filter(F.col("_d").isNotNull()).distinct()
+    weights = token_weights(dt, "_d", docs.filter(F.col(d_key).isNotNull()).select(F.col(d_key).alias("_d")))
+    known = materialize(weights.join(pt.select("token").distinct(), "token", "left_semi"))  # tokens of both sides
+    dt = materialize(dt.join(known, "token"))
+    pt = materialize(pt.join(known, "token"))
+    first = pt.filter(F.col("df") <= rare).select("_p", "token", "weight").join(dt.select("_d", "token"), "token").groupBy("_p", "_d").agg(
+        F.sum("weight").alias("low"))
+    w = Window.partitionBy("_p").orderBy(F.desc("low"), "_d")
+    kth = first.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).groupBy("_p").agg(F.min("low").alias("kth"), F.max("_r").alias("n"))
+    reach = pt.groupBy("_p").agg(F.sum(F.when(F.col("df") > rare, F.col("weight")).otherwise(0)).alias("more"))
+    reach = materialize(reach.join(kth, "_p", "left").withColumn("sure", F.coalesce((F.col("n") >= k) & (F.col("kth") > F.col("more")), F.lit(False))))
+    # a candidate that its program's common tokens can't lift to the k-th best score is dropped
+    near = first.join(reach, "_p").filter(~F.col("sure") | (F.col("low") + F.col("more") >= F.col("kth"))).select("_p", "_d")
+    common = dt.filter(F.col("df") > rare)
+    kinds = common.groupBy("_d").agg(F.array_sort(F.collect_list("token")).alias("kind"))  # one document's tokens
+    w = Window.partitionBy("kind").orderBy("_d")
+    heads = kinds.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).select("_d", F.explode("kind").alias("token"))
+    open_ = pt.filter(F.col("df") > rare).join(reach.filter(~F.col("sure")).select("_p"), "_p", "left_semi")
+    candidates = near.unionByName(open_.select("_p", "token").join(heads, "token").select("_p", "_d")).distinct()
+    scores = candidates.join(dt.select("_d", "token", "weight"), "_d").join(pt.select("_p", "token"), ["_p", "token"]).groupBy("_p", "_d").agg(
+        F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n_shared"))
+    w = Window.partitionBy("_p").orderBy(F.desc("weight"), "_d")
+    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
+        F.col("_p").alias(p_key), F.col("_d").alias(d_key), "weight", "n_shared", "rank")
+
+
 def _rarest_key_links(names: DataFrame, p_key: str, doc_keys: DataFrame, d_key: str) -> DataFrame:
     """Candidates: each name's keys (p_key, bg) against the documents' (d_key, bg), by the name's rarest key alone."""
     # document keys that are some name's key, before anything is shuffled twice
@@ -60,6 +110,43 @@ def _rarest_key_links(names: DataFrame, p_key: str, doc_keys: DataFrame, d_key:
     return rare.join(known, "bg").select(p_key, d_key).distinct()
 
 
+def _grams(col: str):
+    """The distinct character 3-grams of a string, and those of one and two characters."""
+    def of(size: int):
+        last = F.length(col) - (size - 1)
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col(col), i, F.lit(size)))).otherwise(
+            F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(size) for size in range(1, GRAM + 1)]))
+
+
+def tokens_holding(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(part, token): the tokens of ``vocabulary`` (token) that contain each of ``parts`` (part), which are not empty."""
+    size = F.least(F.length("part"), F.lit(GRAM))
+    keyed = parts.select("part", F.explode(F.filter(_grams("part"), lambda g: F.length(g) == size)).alias("bg"))
+    of = vocabulary.select("token", F.explode(_grams("token")).alias("bg"))
+    return _rarest_key_links(keyed, "part", of, "token").filter(F.col("token").contains(F.col("part")))
+
+
+def _short_candidates(short: DataFrame, p_key: str, p_name: str, docs: DataFrame, d_key: str, d_text: str) -> DataFrame:
+    """(p_key, d_key) of the texts that can hold a name (p_key, p_name, _t, _n) of three tokens at most."""
+    one, two = F.col("_t")[0], F.get("_t", F.lit(1))
+    anchor = (F.when(F.col("_n") == 3, two).when(F.col("_n") == 1, one)
+              .when(F.col("_n") == 2, F.when(F.length(one) >= F.length(two), one).otherwise(two)).otherwise(F.col(p_name)))
+    whole, blank = F.col("_n") == 3, F.col("_n") == 0
+    anchors = materialize(short.select(p_key, anchor.alias("part"), whole.alias("whole"), blank.alias("blank")))
+    tokens = docs.select(d_key, F.explode(F.array_distinct(_tokens(d_text))).alias("token"))
+    found = anchors.filter("whole").join(tokens, F.col("part") == F.col("token")).select(p_key, d_key)
+    # a name of blanks alone lies in a run of blanks, any other anchor in a token
+    for runs, which in ((tokens, ~F.col("whole") & ~F.col("blank")), (docs.select(d_key, F.explode(F.array_distinct(
+            F.regexp_extract_all(F.coalesce(F.col(d_text), F.lit("")), F.lit(r"(\s+)"), 1))).alias("token")), F.col("blank"))):
+        mine = anchors.filter(which)
+        if mine.isEmpty():
+            continue
+        holding = tokens_holding(mine.select("part").distinct(), runs.select("token").distinct())
+        found = found.unionByName(mine.join(holding, "part").select(p_key, "token").distinct().join(runs, "token").select(p_key, d_key))
+    return found.distinct()
+
+
 def link_substring(programs: DataFrame, p_key: str, p_name: str, docs: DataFrame, d_key: str, d_text: str) -> DataFrame:
     """(program, document) where the document text contains the program name exactly."""
     pn = programs.select(p_key, p_name).filter(F.col(p_name).isNotNull() & (F.length(p_name) > 0))
@@ -72,14 +159,11 @@ def link_substring(programs: DataFrame, p_key: str, p_name: str, docs: DataFrame
     doc_bg = dt.select(d_key, F.explode(F.zip_with(F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))), F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))),
                                                    lambda a, b: F.concat_ws(" ", a, b))).alias("bg"))
     cand = _rarest_key_links(keyed, p_key, doc_bg, d_key)
+    short = pt.filter(F.col("_n") < 4)
+    if not short.isEmpty():
+        cand = cand.unionByName(_short_candidates(short, p_key, p_name, docs, d_key, d_text))
     links = (cand.join(pn, p_key).join(docs.select(d_key, d_text), d_key)
                       .filter(F.col(d_text).contains(F.col(p_name))).select(p_key, d_key))
-    # names with fewer than four tokens: a stated set of queries against all texts, in blocks of bounded size
-    short = pt.filter(F.col("_n") < 4).select(p_key, p_name)
-    blocks = -(-2 * short.count() // SHORT_NAMES)
-    for k in range(blocks):
-        block = F.broadcast(short.filter(F.pmod(F.xxhash64(p_key), F.lit(blocks)) == k))
-        links = links.unionByName(docs.select(d_key, d_text).join(block, F.col(d_text).contains(F.col(p_name))).select(p_key, d_key))
     return links.withColumn("match_score", F.lit(100)).withColumn("match_type", F.lit("substring_match"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerfold.operators.filters import top_n_values
+from ledgerfold.operators.quantiles import median, quantiles
+from ledgerfold.session import materialize
 
 
 def _stack(pairs: list[tuple[str, Column]], key: str, value: str) -> Column:
@@ -44,22 +46,24 @@ def null_profile(df: DataFrame, columns: list[str], all_null_groups: dict[str, l
 
 def per_key_counts_profile(df: DataFrame, key: str = "piid") -> DataFrame:
     """Number of keys, median and max rows per key (two-level aggregate)."""
-    per = df.groupBy(key).agg(F.count(F.lit(1)).alias("k"))
+    per = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("k")))
     return per.agg(F.count(F.lit(1)).alias("n_contracts"),
-                   F.median("k").alias("median_mods"),
+                   F.lit(median(per, "k")).cast("double").alias("median_mods"),
                    F.max("k").alias("max_mods"))
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count,min,p25,median,p75,max,mean,std (sample), zero count per column.
 
-    One aggregate pass for all columns (exact percentiles), unpivoted after.
+    One aggregate pass for all columns, unpivoted after; exact quartiles by distributed selection.
     """
+    df = materialize(df.select(*columns))
+    quartiles = quantiles(df, columns, [0.25, 0.5, 0.75])
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"c{i}"), F.min(x).alias(f"mn{i}"),
-                 F.percentile(x, [0.25, 0.5, 0.75]).alias(f"q{i}"), F.max(x).alias(f"mx{i}"),
+                 F.lit(quartiles[c]).cast("array<double>").alias(f"q{i}"), F.max(x).alias(f"mx{i}"),
                  F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"), F.count_if(x == 0).alias(f"z{i}")]
     wide = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("variable"), F.col(f"c{i}").alias("count"), F.col(f"mn{i}").alias("min"),
@@ -114,8 +118,8 @@ def histogram(df: DataFrame, col: str, n_bins: int, lo: float | None = None, hi:
 def box_stats(df: DataFrame, col: str) -> DataFrame:
     """Quartiles, 1.5·IQR whiskers (most extreme data inside the fences), outlier count."""
     x = F.col(col).cast("double")
-    base = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    q = base.agg(F.percentile("x", [0.25, 0.5, 0.75])).scalar()  # three quartiles, computed once
+    base = materialize(df.select(x.alias("x")).filter(F.col("x").isNotNull()))
+    q = [F.lit(v).cast("double") for v in quantiles(base, ["x"], [0.25, 0.5, 0.75])["x"]]
     j = base.withColumn("q1", q[0]).withColumn("median", q[1]).withColumn("q3", q[2])
     lo_f = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
@@ -150,9 +154,10 @@ def text_quality(df: DataFrame, col: str) -> DataFrame:
     """Non-null count, mean/median length, short/long counts and buckets."""
     n = F.length(F.col(col))
     L = F.coalesce(n, F.lit(0))
+    half = median(df.select(L.alias("length")), "length")
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(F.col(col)).alias("n_non_null"),
-        F.avg(L).alias("mean_length"), F.median(L).alias("median_length"),
+        F.avg(L).alias("mean_length"), F.lit(half).cast("double").alias("median_length"),
         F.count_if(L < 50).alias("n_lt_50"), F.count_if(L < 100).alias("n_lt_100"),
         F.count_if(L > 500).alias("n_gt_500"),
         F.count_if((L >= 50) & (L < 100)).alias("n_50_99"), F.count_if(L >= 100).alias("n_ge_100"),

@@ -8,6 +8,7 @@ from ledgerfold.operators import linkage
 from ledgerfold.plans.common import rounded
 from ledgerfold.plans.registry import query
 from ledgerfold.sources import bindings, programs as prog
+from ledgerfold.sources.tables import spread
 
 _BRANCHES = ["Army", "Navy", "Air Force", "Marine Corps", "Space Force", "Joint", "DoD-wide"]
 
@@ -136,7 +137,7 @@ def branch_breach_summary(spark, sf_dir):
 
 
 def _docs(spark, sf_dir):
-    return bindings.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(bindings.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _programs(spark, sf_dir):
@@ -177,6 +178,33 @@ def link_token(spark, sf_dir):
     return linkage.link_token(_programs(spark, sf_dir), "program_id", "program_name", _docs(spark, sf_dir), "doc_id", "text")
 
 
+@query("link_token_top", f"""
+WITH t AS MATERIALIZED (SELECT k, token FROM {_dt_sql('pages', 'page_id', 'html')} x),
+w AS (SELECT token, CAST(floor(1000 * ln(1 + (SELECT count(DISTINCT page_id) FROM pages)::DOUBLE / count(*))) AS BIGINT) AS weight FROM t GROUP BY token),
+s AS (SELECT a.k AS program_id, b.k AS page_id, CAST(sum(weight) AS BIGINT) AS weight, count(*) AS n_shared FROM t a JOIN t b USING (token) JOIN w USING (token)
+      WHERE a.k % 20 = 0 GROUP BY ALL)
+SELECT program_id, page_id, weight, n_shared, CAST(row_number() OVER (PARTITION BY program_id ORDER BY weight DESC, page_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+def link_token_top(spark, sf_dir):
+    """J8 by weight: the 5 pages that share the most distinctive-token weight with each page whose id is a multiple of 20.
+    Two of the tokens are in every page."""
+    d = bindings.table(spark, sf_dir, "pages").select("page_id", "html")
+    p = d.filter(F.col("page_id") % 20 == 0).select(F.col("page_id").alias("program_id"), F.col("html").alias("name"))
+    return linkage.link_token_top(p, "program_id", "name", d, "page_id", "html", 5, rare=100)
+
+
+@query("link_short_names", """
+SELECT n.name_id, d.doc_id FROM (SELECT item_id * 4 + j AS name_id, CASE j WHEN 0 THEN ws[2] WHEN 1 THEN ws[2] || ' ' || ws[3] WHEN 2 THEN ws[2] || ' ' || ws[3] || ' ' || ws[4] ELSE substr(ws[3], 2) || ' ' || left(ws[4], 2) END AS name
+  FROM (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark) b, range(4) AS t(j)) n JOIN documents d ON contains(d.text, n.name) WHERE n.name <> ''""")
+def link_short_names(spark, sf_dir):
+    """J9 for names of one to three tokens (and cut tokens), taken from the program names."""
+    ws = F.split("program_name", " ")
+    names = F.array(ws[1], F.concat_ws(" ", ws[1], ws[2]), F.concat_ws(" ", ws[1], ws[2], ws[3]),
+                    F.concat_ws(" ", F.substring(ws[2], 2, 1000), F.substring(ws[3], 1, 2)))
+    p = _programs(spark, sf_dir).select("program_id", F.posexplode(names).alias("j", "name")).select(
+        (F.col("program_id") * 4 + F.col("j")).alias("name_id"), "name")
+    return linkage.link_substring(p, "name_id", "name", _docs(spark, sf_dir), "doc_id", "text").select("name_id", "doc_id")
+
+
 def _lines(spark, sf_dir):
     d = _docs(spark, sf_dir)
     return (d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))

@@ -10,6 +10,7 @@ from ledgerfold.plans.common import rounded
 from ledgerfold.plans.registry import query
 from ledgerfold.session import materialize
 from ledgerfold.sources import bindings
+from ledgerfold.sources.tables import spread
 
 
 def _sql_list(words) -> str:
@@ -32,7 +33,7 @@ def TT(x):
 
 
 def docs(spark, sf_dir):
-    return bindings.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(bindings.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def track_a(spark, sf_dir, min_len: int = 100):
@@ -127,10 +128,9 @@ FROM (SELECT doc_id, unnest(tokens) AS term FROM {_TRACK_A_SQL} a) u SEMI JOIN {
 GROUP BY doc_id, term""")
 def bag_of_words(spark, sf_dir):
     """(doc, term, count) over the filtered topic vocabulary."""
-    ta = track_a(spark, sf_dir)
-    tc = materialize(ot.term_counts(ta, "doc_id", "tokens"))  # two consumers: vocabulary and counts
-    vocab = ot.vocab_filter(ta.select("doc_id"), "doc_id", "tokens", 15, 0.5, tc=tc)
-    return ot.bag_of_words(ta, "doc_id", "tokens", vocab, tc=tc) \
+    ta = materialize(track_a(spark, sf_dir).select("doc_id", "tokens"))  # two consumers: vocabulary and counts
+    vocab = ot.vocab_filter(ta, "doc_id", "tokens", 15, 0.5)
+    return ot.bag_of_words(ta, "doc_id", "tokens", vocab) \
         .select("doc_id", "term", F.col("count").cast("bigint").alias("count"))
 
 

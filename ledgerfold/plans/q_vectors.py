@@ -27,6 +27,17 @@ def cosine_topk(spark, sf_dir):
     return rounded(out.select("query_id", "id", "cosine", F.col("rank").cast("int").alias("rank")))
 
 
+@query("knn", """
+WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT query_id, id, round(d, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT q.id AS query_id, e.id, list_distance(q.v, e.v) AS d, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, e.v), e.id) AS rank
+  FROM e q JOIN e ON q.id <> e.id WHERE q.id % 20 = 0) r WHERE rank <= 5""")
+def knn(spark, sf_dir):
+    """The 5 nearest vectors, among all, of each vector whose id is a multiple of 20."""
+    v = bindings.vectors(spark, sf_dir)
+    return rounded(vectors.knn(v.filter(F.col("id") % 20 == 0), "id", "vector", 5, v))
+
+
 RUNS = ["quality", "toxic", "length", "lang"]
 
 

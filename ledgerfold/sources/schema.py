@@ -7,9 +7,16 @@ STRING and cast explicitly by ``ledgerfold.functions.casts`` (never inferred).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ledgerfold.session import materialize
 
 # Concept -> physical column of the Parquet action shards.
 PARQUET_COLUMN_MAP = {
@@ -98,14 +105,58 @@ def read_actions_parquet(spark: SparkSession, path: str | list[str],
                          mapping: dict[str, str] = PARQUET_COLUMN_MAP) -> DataFrame:
     """Read every shard of a folder (one scan, column-pruned), semantic names.
 
-    Corrupt shards are skipped by ``spark.sql.files.ignoreCorruptFiles`` when the
-    caller sets it (S4); ``shard`` carries the file for per-shard reports (S10).
+    ``shard`` carries the file for per-shard reports (S10). A broken shard fails the read; see
+    :func:`read_actions_shards` for folders that may hold some.
     """
     paths = [path] if isinstance(path, str) else list(path)
     raw = spark.read.parquet(*paths)
     return to_semantic(raw, mapping).withColumn("shard", F.input_file_name())
 
 
+def shard_footers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, length, n_rows, reason) of every parquet file below the paths. Tasks read the footers, one file a row;
+    a file whose footer can't be read has n_rows NULL and the reason. Files without a byte, which scans leave out, are named too."""
+    paths = [path] if isinstance(path, str) else list(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(paths).select("path", "length")
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, reasons = [], []
+            for uri in batch.column("path").to_pylist():
+                try:
+                    fs, at = FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+                    with fs.open_input_file(at) as f:
+                        rows.append(pq.ParquetFile(f).metadata.num_rows)
+                    reasons.append(None)
+                except (pa.ArrowException, OSError) as e:
+                    rows.append(None)
+                    reasons.append(f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}")
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(rows, pa.int64()), pa.array(reasons, pa.string())],
+                                             names=["path", "length", "n_rows", "reason"])
+
+    def plain(uri: str) -> str:
+        return unquote(uri).replace("file:///", "file:/")
+
+    held = files.filter("length > 0").mapInArrow(footers, "path string, length long, n_rows long, reason string")
+    seen = {plain(r["path"]) for r in files.select("path").filter("length > 0").collect()}  # the list of shards, as in any scan
+    empty = [(plain(f), 0, None, "empty file") for f in files.inputFiles() if plain(f) not in seen]
+    return held.unionByName(spark.createDataFrame(empty, held.schema))
+
+
+def read_actions_shards(spark: SparkSession, path: str | list[str], mapping: dict[str, str] = PARQUET_COLUMN_MAP) -> tuple[DataFrame, DataFrame]:
+    """(rows, failed): the rows of all shards whose footer can be read, and (path, length, reason) of the others.
+
+    The list of shards is on the driver, as in any scan. Shards may lack mapped columns; all are read as strings.
+    """
+    checked = materialize(shard_footers(spark, path))
+    good = [r["path"] for r in checked.filter("reason IS NULL").orderBy("path").collect()]
+    if not good:
+        raise ValueError(f"no shard of {path} can be read")
+    raw = spark.read.option("mergeSchema", True).parquet(*good)
+    rows = to_semantic(raw, mapping).withColumn("shard", F.input_file_name())
+    return rows, checked.filter("reason IS NOT NULL").select("path", "length", "reason")
+
+
 def read_actions_csv(spark: SparkSession, path: str | list[str],
                      mapping: dict[str, str] = CSV_COLUMN_MAP) -> DataFrame:
     """CSV form, header row, every column STRING (no inference), semantic names."""

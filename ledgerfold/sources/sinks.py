@@ -42,14 +42,19 @@ def save_table(df: DataFrame, path: str, csv: bool = True) -> None:
 
 
 def save_tfidf(weights: DataFrame, path: str, key: str = "doc_id") -> None:
-    """TF-IDF rows (long form, partitioned by nothing) + vocabulary (idx, term) + row keys."""
+    """TF-IDF rows (long form, partitioned by nothing) + vocabulary (idx, term) + row keys. The vocabulary is
+    ``max_features`` terms."""
     weights.write.mode("overwrite").parquet(f"{path}/weights")
-    terms = weights.select("term").distinct()
-    terms.withColumn("idx", F.dense_rank().over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("term")) - 1).write.mode("overwrite").parquet(f"{path}/vocabulary")
+    terms = weights.groupBy("term").agg(F.lit(1).alias("one")).agg(F.array_sort(F.collect_list("term")).alias("t"))
+    terms.select(F.posexplode("t").alias("idx", "term")).write.mode("overwrite").parquet(f"{path}/vocabulary")
     weights.select(key).distinct().write.mode("overwrite").parquet(f"{path}/keys")
 
 
+def save_doc_topics(shares: DataFrame, path: str, key: str = "doc_id", topics: str = "topics", k: int = 12) -> None:
+    """One column per topic (topic_0 ..) and the key, as Parquet."""
+    shares.select(*[F.col(topics)[i].alias(f"topic_{i}") for i in range(k)], key).write.mode("overwrite").parquet(path)
+
+
 def save_model(model, path: str, meta: dict) -> None:
     """Spark ML persistence plus a one-row metadata table (config, target, feature names)."""
     model.write().overwrite().save(f"{path}/model")

@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 FAST = ["overrun_rate_by_category", "label_history", "label_baseline_ultimate", "mod_reasons", "first_last_nonnull",
         "usable_rows_funnel", "numeric_profile", "cost_growth_histogram", "correlation_pairs", "topic_tokens",
         "tfidf_sql", "cosine_topk", "label_runs_agreement", "stratified_folds", "f1_threshold", "roc_auc_rank",
-        "link_substring", "program_dedupe", "interaction_features", "one_hot"]
+        "link_substring", "program_dedupe", "interaction_features", "one_hot", "knn", "smote", "borderline_smote", "adasyn",
+        "cv_coherence", "fold_vocabulary", "fold_anova_terms", "link_token_top", "link_short_names", "bag_of_words", "text_quality"]
 
 
 def _norm(v):
