@@ -2,11 +2,13 @@
 
 A snapshot is a sealed set of distinct text digests, dealt into buckets by the
 digest's leading bits; every bucket has one static binary-fuse filter (8-bit
-fingerprints, three probes, about 9 bits a key). A new batch is grouped by
-digest on its own first, its distinct digests are screened bucket by bucket
-against the filters, and only the positives join the snapshot's exact buckets,
-where the normalised bytes of both sides' texts are compared. A pair of equal
-digests with unequal bytes stays two groups.
+fingerprints, three probes, about 9 bits a key). ``seal`` writes it once, from
+its own rows alone. A new batch is grouped by digest on its own first, its
+distinct digests are screened bucket by bucket against each snapshot's filters,
+and only the positives join the snapshot's exact buckets, where the normalised
+bytes of both sides' texts are compared (no other text is read again). Negatives
+never meet the snapshot: their batch group is final. Equal digests with
+unequal bytes stay apart by side.
 
 Defined results: a null text is empty, and empty (or blank) texts are equal to
 one another; a null doc_id counts as the largest id; rows that repeat the
@@ -18,7 +20,9 @@ are ignored. Texts of any length are hashed whole.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,8 @@ from ledgerfold.llm.common import MASK64, U64, docs_view, mix, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 KEYS_PER_FILTER = 100_000
+SLICE = 100_000
+MOST_SHIPPED = 500_000  # digests that go to every task at once, about 50 MB
 
 
 # ---- binary-fuse filter ------------------------------------------------
@@ -115,21 +121,26 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Snapshot:
-    """A sealed set of digests: ``groups`` (exact buckets) and ``filters`` (one row for each bucket)."""
+    """A sealed set of documents: ``rows`` (their digests), ``groups`` (the exact buckets, one row a digest), ``filters``
+    (one row for each of ``buckets``) and ``texts`` (doc_id, text), read only for the byte checks of positives."""
 
+    rows: DataFrame
     groups: DataFrame
     filters: DataFrame
     buckets: int
+    texts: DataFrame
 
 
 def bucket_of(buckets: int) -> F.Column:
     return F.pmod(F.col("key"), F.lit(buckets)).cast("int")
 
 
-def seal(groups: DataFrame, expected_batch: int = 0) -> Snapshot:
-    """Write the exact buckets and their filters. Digests are uniform, so a bucket holds about KEYS_PER_FILTER keys at any size."""
-    groups = written(groups, "snapshot")
-    buckets = max(1, math.ceil(max(groups.count(), expected_batch) / KEYS_PER_FILTER))
+def seal(history: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Snapshot:
+    """Write the digests, exact buckets and filters of ``history``, once. Digests are uniform, so a bucket holds about
+    KEYS_PER_FILTER keys at any size. Rows of the source must not change afterwards."""
+    rows = written(digests(history, id_col, text_col), "history")
+    groups = written(grouped(rows), "snapshot")
+    buckets = max(1, math.ceil(groups.count() / KEYS_PER_FILTER))
 
     def build(table: pa.Table) -> pa.Table:
         keys = np.unique(table["key"].to_numpy()).astype(U64)
@@ -139,50 +150,74 @@ def seal(groups: DataFrame, expected_batch: int = 0) -> Snapshot:
 
     filters = groups.select(bucket_of(buckets).alias("bucket"), "key").groupBy("bucket").applyInArrow(
         build, "bucket int, seed long, segment int, segments int, data binary")
-    return Snapshot(groups, written(filters, "filters"), buckets)
+    return Snapshot(rows, groups, written(filters, "filters"), buckets, docs_view(history, id_col, text_col))
 
 
 def screened(batch_groups: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """text_sha256 of the batch's distinct digests that the filters let through (all that the snapshot holds are among them)."""
+    """text_sha256 of the batch's distinct digests that the filters let through (all that the snapshot holds are among them).
 
-    def screen(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        if not theirs.num_rows or not mine.num_rows:
-            return mine.slice(0, 0).select(["text_sha256"])
-        f = theirs.to_pylist()[0]
-        hit = in_fuse(mine["key"].to_numpy().astype(U64), f["seed"] + (1 << 63), f["segment"], f["segments"], f["data"])
-        return mine.filter(pa.array(hit)).select(["text_sha256"])
+    A bucket's filter goes to each of the bucket's slices of the batch, SLICE digests or so, one row at a time: a large
+    batch against a small snapshot is no large group.
+    """
 
-    mine = batch_groups.select(bucket_of(snapshot.buckets).alias("bucket"), "key", "text_sha256")
-    return mine.groupBy("bucket").cogroup(snapshot.filters.groupBy("bucket")).applyInArrow(screen, "text_sha256 string")
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                f = batch.slice(n, 1).to_pylist()[0]
+                hit = in_fuse(np.array(f["keys"], dtype=np.int64).astype(U64), f["seed"] + (1 << 63), f["segment"], f["segments"], f["data"])
+                yield pa.RecordBatch.from_arrays([pa.array(f["shas"], pa.string()).filter(pa.array(hit))], names=["text_sha256"])
 
+    slices = max(1, math.ceil(batch_groups.count() / (SLICE * snapshot.buckets)))
+    mine = batch_groups.select(bucket_of(snapshot.buckets).alias("bucket"), F.expr(f"cast(pmod(key div {snapshot.buckets}, {slices}) as int)").alias("slice"), "key", "text_sha256")
+    mine = mine.groupBy("bucket", "slice").agg(F.collect_list("key").alias("keys"), F.collect_list("text_sha256").alias("shas"))  # SLICE on average
+    return mine.join(snapshot.filters, "bucket").drop("bucket", "slice").mapInArrow(screen, "text_sha256 string")
+
+
+def confirmed(texts: DataFrame, matched: DataFrame) -> DataFrame:
+    """(text_sha256, body): the distinct normalised texts whose digests are ``matched``. A set of MOST_SHIPPED digests at most
+    goes to the scans, so that no other text is moved; a larger one meets the texts in a shuffle join."""
+    d = texts.select(normalised(F.col("text")).alias("body")).withColumn("text_sha256", F.sha2(F.col("body").cast("binary"), 256))
+    wanted = matched.select("text_sha256")
+    return d.join(F.broadcast(wanted) if matched.count() <= MOST_SHIPPED else wanted, "text_sha256", "left_semi").distinct()
 
-def dedup(batch: DataFrame, history: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Dedup ``batch`` against ``history`` (sealed here as a snapshot), and both within themselves.
 
-    One row for each row of both: doc_id, n_cp, text_sha256, keep_id, group_size, kept.
+def dedup_against(batch: DataFrame, snapshots: list[Snapshot], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Dedup ``batch`` within itself and against sealed snapshots.
+
+    One row for each row of the batch and of the snapshots: doc_id, n_cp, text_sha256, keep_id, group_size, kept. Only
+    digests that a filter lets through meet the snapshot's exact buckets; all others keep the batch's own group. A
+    digest that two snapshots share and the batch lacks stays one group in each.
     """
-    new, old = written(digests(batch, id_col, text_col), "batch"), written(digests(history, id_col, text_col), "history")
+    new = written(digests(batch, id_col, text_col), "batch")
     new_groups = written(grouped(new), "batch-groups")
-    snapshot = seal(grouped(old), new_groups.count())
-    positive = screened(new_groups, snapshot)
-    # exact buckets: the digest itself, then the bytes of every copy on both sides
-    both = written(new_groups.join(positive, "text_sha256", "left_semi").join(snapshot.groups, "text_sha256", "left_semi").select("text_sha256"), "positives")
-
-    def texts(df: DataFrame) -> DataFrame:
-        d = docs_view(df, id_col, text_col).select(normalised(F.col("text")).alias("body"))
-        return d.withColumn("text_sha256", F.sha2(F.col("body").cast("binary"), 256)).join(both, "text_sha256", "left_semi")
-
-    seen = texts(history).unionByName(texts(batch))
-    differing = seen.groupBy("text_sha256").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b").select("text_sha256")
-    old_groups = snapshot.groups.select("text_sha256", "best", "rows")
-    all_groups = old_groups.unionByName(new_groups.select("text_sha256", "best", "rows"))
-    merged = all_groups.groupBy("text_sha256").agg(F.min("best").alias("best"), F.sum("rows").alias("rows"))
-    apart = written(differing, "collisions")
-    merged = merged.join(apart, "text_sha256", "left_anti").withColumn("side", F.lit("any"))
-    split = old_groups.withColumn("side", F.lit("old")).unionByName(new_groups.select("text_sha256", "best", "rows").withColumn("side", F.lit("new")))
-    groups = merged.unionByName(split.join(apart, "text_sha256", "left_semi")).select(
-        "text_sha256", "side", F.col("best.doc_id").alias("keep_id"), F.col("rows").alias("group_size"), (-F.col("best.minus_cp")).alias("best_cp"))
-    rows = old.withColumn("own_side", F.lit("old")).unionByName(new.withColumn("own_side", F.lit("new")))
-    out = rows.join(groups, "text_sha256").filter((F.col("side") == "any") | (F.col("side") == F.col("own_side")))
+    hits = []
+    for n, snapshot in enumerate(snapshots):
+        positive = screened(new_groups, snapshot)
+        hits.append(snapshot.groups.join(positive, "text_sha256", "left_semi").select("text_sha256", F.lit(n).alias("snapshot"), "best", "rows"))
+    if not hits:
+        return _rows(new, new_groups)
+    matched = written(reduce(DataFrame.unionByName, hits), "matched")
+    digest = written(matched.select("text_sha256").distinct(), "digests")
+    bodies = reduce(DataFrame.unionByName, [confirmed(t, digest) for t in [docs_view(batch, id_col, text_col), *[s.texts for s in snapshots]]])
+    apart = bodies.distinct().groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("text_sha256")  # digests collide, bytes differ
+    equal = matched.join(written(apart, "collisions"), "text_sha256", "left_anti")
+    of_batch = new_groups.select("text_sha256", "best", "rows").join(digest, "text_sha256", "left_semi")
+    whole = equal.select("text_sha256", "best", "rows").unionByName(of_batch.join(equal.select("text_sha256").distinct(), "text_sha256", "left_semi"))
+    whole = written(whole.groupBy("text_sha256").agg(F.min("best").alias("all_best"), F.sum("rows").alias("all_rows")), "merged")
+
+    def final(groups: DataFrame) -> DataFrame:
+        return groups.join(whole, "text_sha256", "left").select("text_sha256", F.coalesce("all_best", "best").alias("best"), F.coalesce("all_rows", "rows").alias("rows"))
+
+    parts = [_rows(new, final(new_groups))] + [_rows(s.rows, final(s.groups)) for s in snapshots]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _rows(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    g = groups.select("text_sha256", F.col("best.doc_id").alias("keep_id"), F.col("rows").alias("group_size"), (-F.col("best.minus_cp")).alias("best_cp"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("best_cp"))
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "n_cp")
+    return rows.join(g, "text_sha256").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "n_cp")
+
+
+def dedup(batch: DataFrame, history: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`dedup_against` with ``history`` sealed as the one snapshot."""
+    return dedup_against(batch, [seal(history, id_col, text_col)], id_col, text_col)
