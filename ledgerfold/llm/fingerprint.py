@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.llm.common import docs_view, written
 
-K, WIDTH, DIGITS = 128, 5, 16
+K, WIDTH, DIGITS = 96, 5, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -87,8 +87,8 @@ def merge(parts: DataFrame, by: list[str], sketch_col: str = "sketch", k: int =
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Estimated Jaccard similarity of two sets (0 to 1), exact while their union has at most ``k`` shingles."""
-    union = merged(a, b, k)
-    return F.when(F.size(union) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union))
+    return once(merged(a, b, k), lambda union: F.when(F.size(union) == 0, 1.0).otherwise(
+        F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union)))
 
 
 def n_distinct(a: Column, k: int = K) -> Column:
