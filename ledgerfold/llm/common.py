@@ -62,9 +62,9 @@ def slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBat
 
 
 class WordHash(dict):
-    """64-bit hash of a word (bytes), remembered; bounded by ``most`` words."""
+    """64-bit hash of a word (bytes), remembered; bounded by ``most`` words (about 50 MB a worker)."""
 
-    most = 1_000_000
+    most = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

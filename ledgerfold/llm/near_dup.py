@@ -221,14 +221,14 @@ def _linked(threshold_pct: int, width: int):
             nonlocal held
             got = known.get(key)
             if got is None:
-                if held > 4_000_000:
+                if held > 2_000_000:  # 16 MB
                     known.clear()
                     held = 0
                 got = known[key] = distinct(shingles(words_of.array(text.encode("utf-8").lower().split()), width))
                 held += len(got)
             return got
 
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in slices(whole_batch)):
             cols = [batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")]
             keep = []
             for k, (a, b, ta, tb) in enumerate(zip(*cols, strict=True)):
@@ -348,16 +348,17 @@ def _shared(grown: DataFrame) -> DataFrame:
 
 def _texts(d: DataFrame, rows: DataFrame, live: DataFrame) -> DataFrame:
     """(class, text) of the classes in ``live``, from one document of each."""
-    one = rows.join(live, "class", "left_semi").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")).alias("x")).select(
-        "class", F.col("x.doc_id").alias("at"))
+    one = rows.join(live, "class", "left_semi").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tie")).alias("x")).select(
+        "class", F.col("x.doc_id").alias("at"), F.col("x.tie").alias("with"))
 
     def make():
         def step(cols: dict) -> dict:
             return {"class": [hashlib.md5(b" ".join(t.encode("utf-8").lower().split())).digest() for t in cols["text"]], "text": cols["text"], "want": cols["class"]}
         return step
 
-    # rows may repeat a doc_id with another text: the class is computed again and has the last word
-    joined = d.join(one, d["doc_id"].eqNullSafe(one["at"])).select("text", "class")
+    # an id and the text's hash name a row, whether ids are null or repeated; the class is computed again and has the last word
+    own = d.withColumn("tie", F.xxhash64("text"))
+    joined = own.join(one, (own["tie"] == one["with"]) & own["doc_id"].eqNullSafe(one["at"])).select("text", "class")
     got = map_rows(joined, make, "class binary, text string, want binary").filter(F.col("class") == F.col("want")).select("class", "text")
     return written(got.dropDuplicates(["class"]), "texts")
 
