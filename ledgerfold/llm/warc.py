@@ -20,6 +20,7 @@ writes nothing; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import math
 import re
 import uuid
 import zlib
@@ -38,12 +39,13 @@ DATE = "2020-01-01T00:00:00Z"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
-    """The bytes of one record, not compressed. Its id is derived from the page, so a retry writes the same."""
-    own = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{i}')}>"
+    """The bytes of one record, not compressed. Its id is derived from page, payload digest, kind and (of a revisit) address, so a
+    retry writes the same and rows that repeat a page_id differ."""
+    own = lambda i, *rest: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ':'.join(['page', str(i), digest, *rest]))}>"
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head + (payload or b"") if refers_to is None else head
     clean = lambda s: re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", s)
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {own(page_id)}",
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {own(page_id) if refers_to is None else own(page_id, 'revisit', str(url))}",
              f"WARC-Target-URI: {clean(url) if url is not None else f'urn:page:{page_id}'}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}",
              f"X-Page-Id: {'' if page_id is None else page_id}"]
     if refers_to is not None:
@@ -153,6 +155,7 @@ def read(index: DataFrame) -> DataFrame:
             yield from fetched(own, at[1], at[0])
 
     dealt = index.select("folder", "file", "offset", "length", F.floor(F.col("offset") / BLOCK).alias("block"))
-    ordered = dealt.repartition("file", "block").sortWithinPartitions("folder", "file", "offset")
+    n = math.ceil((index.agg(F.sum("length")).first()[0] or 0) / BLOCK)  # as many tasks as there are byte blocks
+    ordered = dealt.repartition(max(1, n), "file", "block").sortWithinPartitions("folder", "file", "offset")
     return ordered.select("folder", "file", "offset", "length").mapInArrow(
         run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
