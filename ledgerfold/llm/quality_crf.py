@@ -249,6 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     one = one.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y"))
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)  # at most fit_docs rows
     d = docs_view(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")
+    d = d.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one text an id, so fit_docs bounds what the driver gets
 
     def make():
         def step(cols: dict) -> dict:
