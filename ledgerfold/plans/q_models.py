@@ -11,6 +11,8 @@ A + C on the documents that have both.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (IDF, CountVectorizer, NGram, SQLTransformer, StopWordsRemover,
                                 UnivariateFeatureSelector)
@@ -92,7 +94,7 @@ def part_rows(shared, p, n_folds):
     chosen = materialize(fd.fold_anova(w, "doc_id", "term", labels, p, "y"))
     b = fd.fold_arrays(w, "doc_id", "term", chosen, 100).withColumnRenamed("arr", "B")
     rows = p.withColumnRenamed("fold", "own").select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
-    role = F.when(F.col("own").eqNullSafe(F.col("fold")), "test").when("valid", "valid").otherwise("train")
+    role = F.when(F.col("own").eqNullSafe(F.col("fold")), "test").when(F.col("valid"), "valid").otherwise("train")
     rows = rows.select("fold", "doc_id", "y", role.alias("role")).join(a, "doc_id").join(b, ["fold", "doc_id"], "left").join(c, "doc_id", "left")
     rows = rows.select("fold", "doc_id", "y", "role", "A", F.coalesce("B", F.array_repeat(F.lit(0.0), 100)).alias("B"),
                        F.coalesce("C", F.array_repeat(F.lit(0.0), K_TOPICS)).alias("C"), F.col("C").isNotNull().alias("has_topics"))
@@ -117,17 +119,19 @@ def training_rows(rows, oversampler=oversample.smote):
 
 
 def _cells(shared, spark, sf_dir, targets, configs, algorithms, n_folds=None):
-    cells, smoted = [], []
+    """The cells of a grid, and whether each one's training rows were oversampled."""
+    parts_ = []
     for target in targets:
         rows, _ = part_rows(shared, parts(spark, sf_dir, target, n_folds), n_folds)
-        for config in configs:
-            for k in range(n_folds or 1):
-                r = config_rows(rows.filter(F.col("fold") == k), config)
-                train, s = training_rows(r)
-                for algorithm in algorithms:
-                    cells.append(grid.Cell({"target": target, "config": config, "algorithm": algorithm, "fold": k}, train,
-                                           r.filter("role <> 'train'").select("doc_id", "arr", "y", "role"), algorithm, "B" not in CONFIGS[config]))
-                    smoted.append(s)
+        parts_ += [(target, config, k, config_rows(rows.filter(F.col("fold") == k), config)) for config in configs for k in range(n_folds or 1)]
+    with ThreadPoolExecutor(grid.THREADS) as pool:
+        trains = list(pool.map(lambda p: training_rows(p[3]), parts_))
+    cells, smoted = [], []
+    for (target, config, k, r), (train, s) in zip(parts_, trains, strict=True):
+        score = r.filter("role <> 'train'").select("doc_id", "arr", "y", "role")
+        for algorithm in algorithms:
+            cells.append(grid.Cell({"target": target, "config": config, "algorithm": algorithm, "fold": k}, train, score, algorithm, "B" not in CONFIGS[config]))
+            smoted.append(s)
     return cells, smoted
 
 
@@ -269,7 +273,7 @@ def grid_search(spark, sf_dir):
 def _compare_oversamplers(spark, sf_dir, target):
     rows = structured_rows(spark, sf_dir).select("doc_id", "A", F.lit(0).alias("fold"))
     r = materialize(rows.join(parts(spark, sf_dir, target).withColumnRenamed("fold", "own"), "doc_id").select(
-        "doc_id", F.col("A").alias("arr"), "y", F.when(F.col("own") == 0, "test").when("valid", "valid").otherwise("train").alias("role")))
+        "doc_id", F.col("A").alias("arr"), "y", F.when(F.col("own") == 0, "test").when(F.col("valid"), "valid").otherwise("train").alias("role")))
     train = r.filter("role = 'train'").select("doc_id", "arr", "y")
     cells = []
     for name, fn in OVERSAMPLERS.items():
