@@ -53,6 +53,7 @@ WIDTH, THRESHOLD, RECALL = 5, 0.75, 0.9999
 FEW = 32  # a node with no more members outside its largest component is compared exhaustively
 SMALL = 256  # and so is a node with no more members
 DEPTH = 4  # generations that the first trees are sized for
+MOST_SHIPPED = 500_000  # rows (class, id, hash) that go to every task at once, about 50 MB
 
 
 def survival(threshold: float, depth: int) -> float:
@@ -282,9 +283,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(map_rows(d.withColumn("tie", F.xxhash64("text")), _class_rows(threshold, trees, width), "doc_id long, tie long, class binary, n_shingles long, roots array<long>, sig binary"), "rows")
     classes = written(rows.filter("n_shingles > 0").groupBy("class").agg(
         F.min("doc_id").alias("first_id"), F.first("roots").alias("roots"), F.first("sig").alias("sig")), "classes")
-    entries = classes.select(F.explode("roots").alias("node"), "class", "sig")
+    # nodes of one member go before signatures are carried anywhere
+    entries = classes.select(F.explode("roots").alias("node"), "class")
     sizes = entries.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
-    level = written(entries.join(sizes, "node", "left_semi"), "level")
+    level = written(entries.join(sizes, "node", "left_semi").join(classes.select("class", "sig"), "class").select("node", "class", "sig"), "level")
     comp = spark.createDataFrame([], "member binary, comp binary")
     texts = None
     deep: dict[int, list[DataFrame]] = {}  # members of nodes that go on at DEPTH generations, twice as many, ...
@@ -358,6 +360,9 @@ def _texts(d: DataFrame, rows: DataFrame, live: DataFrame) -> DataFrame:
 
     # an id and the text's hash name a row, whether ids are null or repeated; the class is computed again and has the last word
     own = d.withColumn("tie", F.xxhash64("text"))
+    one = written(one, "live")
+    if one.count() <= MOST_SHIPPED:  # so few go to the scan; more meet the texts in a shuffle join
+        one = F.broadcast(one)
     joined = own.join(one, (own["tie"] == one["with"]) & own["doc_id"].eqNullSafe(one["at"])).select("text", "class")
     got = map_rows(joined, make, "class binary, text string, want binary").filter(F.col("class") == F.col("want")).select("class", "text")
     return written(got.dropDuplicates(["class"]), "texts")
