@@ -9,11 +9,16 @@ format, get the same one (coreference).
 
 Surrogates are keyed (BLAKE2b under a secret key) and keep the type: digits for
 digits under the same check rule, letters of the same case and script, an
-address of the same kind of range, a given name of the same gender and script,
-and each mention's own separators and case. Collisions are checked over all
-distinct entities: no two entities of a type share a surrogate and no surrogate
-is itself an entity of the corpus; whoever loses draws again until nothing
-collides, so distinct stays distinct.
+address of the same kind of range, a given name of the same gender and script
+(the listed ones change places under the key, others become made-up ones), and each
+mention's own separators and case. Collisions are checked over all distinct
+entities: no two entities of a type share a surrogate and no surrogate is itself
+an entity of the corpus; whoever loses draws again until nothing collides, from a
+wider space after some attempts (longer names, mailboxes and domains, the next
+private range), so distinct stays distinct. A type that is still not settled after
+MOST_ROUNDS rounds is an error that names it.
+
+Limits: a person without a title is found by a listed given name alone.
 
 Defined results: a null text stays null and has no entities; an empty one stays
 empty; texts are searched whole; rows that repeat get equal results; other
@@ -51,9 +56,12 @@ SYLLABLES = {
     "greek": "βα γελ δον θαν καλ λιν μαρ νικ παπ ραν σελ ταν φιλ χαρ ψαρ ζην".split(),
 }
 NAMES_BY = {n: (s, g) for (s, g), names in GIVEN.items() for n in names}
+CAPITALS = {n.upper(): n for n in NAMES_BY}
+MOST_ROUNDS = 500
 
 _title = "|".join(regex.escape(t) for ts in TITLES.values() for t in ts)
 _given = "|".join(regex.escape(n) for n in NAMES_BY)
+_capitals = "|".join(regex.escape(n) for n in CAPITALS)
 PATTERNS = [
     ("EMAIL", regex.compile(r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?\.)+\p{L}{2,24}(?![\p{L}\p{N}@])")),
     ("IP", regex.compile(r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{L}\p{N}]|\.\d)")),
@@ -61,7 +69,7 @@ PATTERNS = [
     ("SSN", regex.compile(r"(?<![\p{L}\p{N}-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\p{L}\p{N}-])")),
     ("NUMBER", regex.compile(r"(?<![\p{L}\p{N}.,-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])")),
     ("PHONE", regex.compile(r"(?<![\p{L}\p{N}.,/-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])")),
-    ("PERSON", regex.compile(rf"(?<!\p{{L}})(?:(?P<title>{_title})\.?\ )(?P<a>\p{{Lu}}[\p{{L}}'’-]+)(?:\ (?P<b>\p{{Lu}}[\p{{L}}'’-]+))?|(?<!\p{{L}})(?P<g>{_given})\ (?P<s>\p{{Lu}}\p{{Ll}}[\p{{L}}'’-]*)")),
+    ("PERSON", regex.compile(rf"(?<!\p{{L}})(?:(?P<title>{_title})\.?\ )(?P<a>\p{{Lu}}[\p{{L}}'’-]+)(?:\ (?P<b>\p{{Lu}}[\p{{L}}'’-]+))?|(?<!\p{{L}})(?P<g>{_given})\ (?P<s>\p{{Lu}}\p{{Ll}}[\p{{L}}'’-]*)|(?<!\p{{L}})(?P<G>{_capitals})\ (?P<S>\p{{Lu}}[\p{{Lu}}'’-]+)(?!\p{{L}})")),
 ]
 TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 
@@ -109,9 +117,10 @@ def find(text: str | None) -> list[dict]:
                 if m["title"]:
                     start = m.start("a")
                     given, last = (m["a"], m["b"]) if m["b"] else (None, m["a"])
-                    gender = TITLE_GENDER[m["title"]] or NAMES_BY.get(given, ("", ""))[1]
+                    gender = TITLE_GENDER[m["title"]] or NAMES_BY.get(CAPITALS.get((given or "").upper()), ("", ""))[1]
                 else:
-                    given, last, gender = m["g"], m["s"], NAMES_BY[m["g"]][1]
+                    given, last = m["g"] or CAPITALS[m["G"]], m["s"] or m["S"]
+                    gender = NAMES_BY[given][1]
                 body = text[start:end]
                 canonical = f"{gender}|{(given or '').lower()}|{last.lower()}"
             else:
@@ -161,21 +170,25 @@ def surrogate(kind: str, canonical: str, key: bytes, attempt: int) -> str:
     """The canonical surrogate of one entity."""
     k = Keyed(key, kind, canonical, str(attempt))
     digits = lambda n: "".join(str(k.below(10)) for _ in range(n))
-    if kind == "EMAIL":
+    wider = attempt // 4  # more room after every fourth attempt
+    if kind == "MAILBOX":  # of one domain: local@domain
         local, _, domain = canonical.partition("@")
-        *labels, top = domain.split(".")
-        # one domain has one surrogate, whoever's address it stands in
-        fresh = Keyed(key, "DOMAIN", domain)
-        return f"{_letters(local, k)}@{'.'.join(_letters(x, fresh) for x in labels)}.{top}"
+        return f"{_letters(local + 'a' * wider, k)}@{domain}"
+    if kind == "DOMAIN":
+        *labels, last, top = ["", *canonical.split(".")]
+        return ".".join([*(_letters(x, k) for x in labels if x), _letters(last + "a" * wider, k), top])
     if kind == "IP":
         a, b, *_ = map(int, canonical.split("."))
         tail = [str(k.below(254) + 1) for _ in range(3)]
-        if a in (10, 127):
-            return ".".join([str(a), *tail])
-        if (a, b) == (192, 168):
+        # a private range that is used up goes on in the next larger one
+        if (a, b) == (192, 168) and wider < 2:
             return ".".join(["192.168", *tail[:2]])
-        if a == 172 and 16 <= b < 32:
+        if (a, b) == (192, 168) and wider < 6 or a == 172 and 16 <= b < 32 and wider < 6:
             return ".".join(["172", str(16 + k.below(16)), *tail[:2]])
+        if a == 127 and wider < 16:
+            return ".".join(["127", *tail])
+        if a in (10, 127) or (a, b) == (192, 168) or a == 172 and 16 <= b < 32:
+            return ".".join(["10", *tail])
         public = [x for x in range(1, 224) if x not in (10, 127, 172, 192)]
         return ".".join([str(public[k.below(len(public))]), *tail])
     if kind in ("CARD", "ACCOUNT"):
@@ -191,13 +204,19 @@ def surrogate(kind: str, canonical: str, key: bytes, attempt: int) -> str:
         body = "".join(str(k.below(10)) if c.isdigit() else chr(65 + k.below(26)) for c in canonical[4:])
         check = 98 - int("".join(str(int(c, 36)) for c in body + canonical[:2] + "00")) % 97
         return f"{canonical[:2]}{check:02d}{body}"
-    gender, given, last = canonical.split("|")
-    script = script_of(last)
-    pool = [n.lower() for n in GIVEN[script, gender]] if gender else [n.lower() for g in "fm" for n in GIVEN[script, g]]
-    syllables = SYLLABLES[script]
-    # each further attempt may use a longer name, so the space never runs out
-    name = "".join(syllables[k.below(len(syllables))] for _ in range(2 + k.below(2) + attempt // 2))
-    return f"{gender}|{pool[k.below(len(pool))] if given else ''}|{name}"
+    if kind == "GIVEN":
+        gender, given = canonical.split("|")
+        script = script_of(given)
+        if (known := NAMES_BY.get(CAPITALS.get(given.upper()))) is not None:
+            ring = sorted((n.lower() for n in GIVEN[known]), key=lambda n: Keyed(key, "RING", *known, n).below(1 << 62))
+            return f"{gender}|{ring[(ring.index(given) + 1) % len(ring)]}"
+        made = _made(script, k, 2 + attempt // 2) + ({"latin": "a", "cyrillic": "а", "greek": "α"}[script] if gender == "f" else "")
+        return f"{gender}|{made}"
+    return _made(script_of(canonical), k, 2 + k.below(2) + attempt // 2)  # a surname; longer after some attempts
+
+
+def _made(script: str, k: Keyed, n: int) -> str:
+    return "".join(SYLLABLES[script][k.below(len(SYLLABLES[script]))] for _ in range(n))
 
 
 def dressed(kind: str, body: str, own: str) -> str:
@@ -213,14 +232,17 @@ def dressed(kind: str, body: str, own: str) -> str:
 
 
 def assigned(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, canonical) distinct -> surrogate, without collisions. Rounds go on while any are left."""
+    """(kind, canonical) distinct -> surrogate, without collisions, for kinds without parts. Rounds go on while any are left."""
 
     def draw(df: DataFrame) -> DataFrame:
         def make():
             return lambda c: {**c, "surrogate": [surrogate(k, x, key, a) for k, x, a in zip(c["kind"], c["canonical"], c["attempt"], strict=True)]}
         return map_rows(df.select("kind", "canonical", "attempt"), make, "kind string, canonical string, attempt int, surrogate string")
 
-    real = entities.select(F.col("kind"), F.col("canonical").alias("surrogate"))
+    # listed given names change places among themselves: each is one of them, and no two become one
+    listed = (F.col("kind") == "GIVEN") & F.substring_index("canonical", "|", -1).isin([n.lower() for n in NAMES_BY])
+    real = entities.filter(~listed).select(F.col("kind"), F.col("canonical").alias("surrogate"))
+    rounds = 0
     now = written(draw(entities.withColumn("attempt", F.lit(0))), "surrogates")
     while True:
         # of those with one surrogate, the smallest entity keeps it; none may be a real entity's own form
@@ -229,10 +251,39 @@ def assigned(entities: DataFrame, key: bytes) -> DataFrame:
         lost = written(many.unionByName(now.join(real, ["kind", "surrogate"], "left_semi").select("kind", "canonical")).distinct(), "lost")
         if not lost.take(1):
             return now.select("kind", "canonical", "surrogate")
+        rounds += 1
+        if rounds > MOST_ROUNDS:
+            raise RuntimeError(f"no distinct surrogates left for {sorted(r['kind'] for r in lost.select('kind').distinct().collect())}")
         again = draw(now.join(lost, ["kind", "canonical"], "left_semi").withColumn("attempt", F.col("attempt") + 1))
         now = written(now.join(lost, ["kind", "canonical"], "left_anti").unionByName(again), "surrogates")
 
 
+def resolved(entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, canonical) distinct -> surrogate; persons and addresses are put together from their parts' surrogates."""
+    e = entities.withColumn("p", F.split("canonical", r"\|")).withColumn("domain", F.substring_index("canonical", "@", -1))
+    person, mail = F.col("kind") == "PERSON", F.col("kind") == "EMAIL"
+    given = F.concat_ws("|", F.col("p")[0], F.col("p")[1])
+    kinds = F.array(F.when(person, F.struct(F.lit("SURNAME").alias("kind"), F.get("p", F.lit(2)).alias("canonical"))),
+                    F.when(person & (F.get("p", F.lit(1)) != ""), F.struct(F.lit("GIVEN").alias("kind"), given.alias("canonical"))),
+                    F.when(mail, F.struct(F.lit("DOMAIN").alias("kind"), F.col("domain").alias("canonical"))),
+                    F.when(mail, F.struct(F.lit("MAILBOX").alias("kind"), F.col("canonical").alias("canonical"))),
+                    F.when(~person & ~mail, F.struct(F.col("kind").alias("kind"), F.col("canonical").alias("canonical"))))
+    parts = e.select(F.explode(F.array_compact(kinds)).alias("x")).select("x.*").distinct()
+    own = written(assigned(parts, key), "parts")
+
+    def of(kind: str, name: str) -> DataFrame:
+        return own.filter(F.col("kind") == kind).select(F.col("canonical").alias(f"{name}_of"), F.col("surrogate").alias(name))
+
+    people = e.filter(person).withColumn("given_of", given).withColumn("last_of", F.get("p", F.lit(2)))
+    people = people.join(of("SURNAME", "last"), "last_of").join(of("GIVEN", "given"), "given_of", "left")
+    people = people.select("kind", "canonical", F.concat_ws("|", F.col("p")[0], F.coalesce(F.substring_index("given", "|", -1), F.lit("")), "last").alias("surrogate"))
+    mails = e.filter(mail).withColumn("new_domain_of", F.col("domain")).withColumn("box_of", F.col("canonical"))
+    mails = mails.join(of("DOMAIN", "new_domain"), "new_domain_of").join(of("MAILBOX", "box"), "box_of")
+    mails = mails.select("kind", "canonical", F.concat_ws("@", F.substring_index("box", "@", 1), "new_domain").alias("surrogate"))
+    plain = own.filter(~F.col("kind").isin("SURNAME", "GIVEN", "DOMAIN", "MAILBOX"))
+    return plain.unionByName(people).unionByName(mails)
+
+
 SPANS = "array<struct<start:int,end:int,kind:string,canonical:string,body:string>>"
 
 
@@ -246,7 +297,7 @@ def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str =
     found = map_rows(d, make, f"doc_id long, tie long, spans {SPANS}").filter(F.size("spans") > 0)
     found = written(found.dropDuplicates(["doc_id", "tie"]), "entities")
     each = found.select("doc_id", "tie", F.explode("spans").alias("e")).select("doc_id", "tie", "e.*")
-    given = assigned(each.select("kind", "canonical").distinct(), key)
+    given = resolved(each.select("kind", "canonical").distinct(), key)
     edits = each.join(given, ["kind", "canonical"]).groupBy("doc_id", "tie").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "kind", "body", "surrogate"))).alias("edits"))
     key_of = F.struct(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("tie"))
