@@ -1,4 +1,10 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of reference blocks.
+"""Substring dedup against an index of content-cut reference blocks.
+
+Factors are found by grouping, not by a greedy longest-factor (relative
+Lempel-Ziv) parse: such a parse walks each document against every block that
+shares words with it, which a passage that a third of all documents share makes
+quadratic; no figure of one was measured. The grouping finds the same windows,
+each of them, so the duplicate spans are those of the full parse.
 
 The corpus itself is the reference. It is cut into blocks where its content
 says so: every window of ``WINDOW`` words has an anchor, the run of ``GRAM``
@@ -8,7 +14,7 @@ recur in another document only in a block of the same anchor. The index maps
 an anchor to the smallest document that holds it, the largest, and whether all
 of its blocks are word for word the same.
 
-Parsing a document, its longest factors are runs of blocks whose anchor an
+A document's long factors are runs of blocks whose anchor an
 earlier document (a smaller doc_id) holds with the same whole block; they need
 no further look. A factor ends in a block whose anchor an earlier document
 holds too, but with other words around it. Windows at those boundaries are

@@ -40,7 +40,7 @@ DATE = "2020-01-01T00:00:00Z"
 
 def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
     """The bytes of one record, not compressed. Its id is derived from page, payload digest, kind and (of a revisit) address, so a
-    retry writes the same and rows that repeat a page_id differ."""
+    retry writes the same and rows that repeat a page_id with another payload differ."""
     own = lambda i, *rest: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ':'.join(['page', str(i), digest, *rest]))}>"
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head + (payload or b"") if refers_to is None else head
