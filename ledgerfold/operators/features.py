@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions import scalars
 from ledgerfold.operators.filters import top_n_values
-from ledgerfold.operators.quantiles import median
+from ledgerfold.operators.quantiles import median, quantiles
+from ledgerfold.session import materialize
 
 MAX_LEVELS = 256
 
@@ -67,6 +68,28 @@ def temporal_features(df: DataFrame, start: str, planned_end: str) -> DataFrame:
     return df.withColumns(scalars.calendar_features(start, planned_end))
 
 
+def join_temporal(df: DataFrame, temporal: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(joined, rate): ``df`` with the calendar features that ``temporal`` has for its key, defaults where it has none
+    (CALENDAR_DEFAULTS; a median is taken over the joined rows and cut to a whole number), and one row n_rows,
+    n_matched, match_rate. A key that repeats in ``temporal`` counts once, by its smallest start."""
+    cols = [c for c in CALENDAR_DEFAULTS if c in temporal.columns]
+    one = temporal.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*cols)).alias("_t"))
+    j = materialize(df.join(one, key, "left").select(*[df[c] for c in df.columns], F.col("_t").isNotNull().alias("_matched"), *[F.col(f"_t.{c}").alias(c) for c in cols]))
+    rate = j.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("_matched").alias("n_matched")).withColumn("match_rate", F.try_divide("n_matched", "n_rows"))
+    middle = quantiles(j, [c for c in cols if CALENDAR_DEFAULTS[c] is None], [0.5], True)
+    filled = {c: middle[c][0] if CALENDAR_DEFAULTS[c] is None else CALENDAR_DEFAULTS[c] for c in cols}
+    return j.withColumns({c: F.coalesce(F.col(c).cast("int"), F.lit(v).cast("int")) for c, v in filled.items()}).drop("_matched"), rate
+
+
+def align_inner(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(aligned, counts): rows whose key both feature sets have, with the columns of both, and one row n_left,
+    n_right, n_both of distinct keys. A NULL key matches nothing."""
+    both = left.join(right, key, "inner")
+    keys = left.select(key).distinct().withColumn("_l", F.lit(1)).join(right.select(key).distinct().withColumn("_r", F.lit(1)), key, "full")
+    counts = keys.filter(F.col(key).isNotNull()).agg(F.count("_l").alias("n_left"), F.count("_r").alias("n_right"), F.count_if(F.col("_l").isNotNull() & F.col("_r").isNotNull()).alias("n_both"))
+    return both, counts
+
+
 def structured_features(df: DataFrame, base_col: str = "initial_cost") -> DataFrame:
     """M9: the structured feature set (no final value: it would leak the label).
 

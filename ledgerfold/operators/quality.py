@@ -48,7 +48,7 @@ def per_key_counts_profile(df: DataFrame, key: str = "piid") -> DataFrame:
     """Number of keys, median and max rows per key (two-level aggregate)."""
     per = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("k")))
     return per.agg(F.count(F.lit(1)).alias("n_contracts"),
-                   F.lit(median(per, "k")).cast("double").alias("median_mods"),
+                   F.lit(median(per, "k", True)).cast("double").alias("median_mods"),
                    F.max("k").alias("max_mods"))
 
 
@@ -58,7 +58,7 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     One aggregate pass for all columns, unpivoted after; exact quartiles by distributed selection.
     """
     df = materialize(df.select(*columns))
-    quartiles = quantiles(df, columns, [0.25, 0.5, 0.75])
+    quartiles = quantiles(df, columns, [0.25, 0.5, 0.75], True)
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
@@ -119,7 +119,7 @@ def box_stats(df: DataFrame, col: str) -> DataFrame:
     """Quartiles, 1.5·IQR whiskers (most extreme data inside the fences), outlier count."""
     x = F.col(col).cast("double")
     base = materialize(df.select(x.alias("x")).filter(F.col("x").isNotNull()))
-    q = [F.lit(v).cast("double") for v in quantiles(base, ["x"], [0.25, 0.5, 0.75])["x"]]
+    q = [F.lit(v).cast("double") for v in quantiles(base, ["x"], [0.25, 0.5, 0.75], True)["x"]]
     j = base.withColumn("q1", q[0]).withColumn("median", q[1]).withColumn("q3", q[2])
     lo_f = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))

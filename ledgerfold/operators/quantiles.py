@@ -67,9 +67,11 @@ def select_ranks(df: DataFrame, wanted: dict[str, list[int]], bounds: dict[str,
                 before += r["n"]
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """Exact ``probs`` quantiles of the numeric ``columns``: a few numbers per column, on the driver."""
-    narrow = materialize(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]))
+def quantiles(df: DataFrame, columns: list[str], probs: list[float], stored: bool = False) -> dict[str, list[float | None]]:
+    """Exact ``probs`` quantiles of the numeric ``columns``: a few numbers per column, on the driver. ``stored`` says that
+    ``df`` is a stored table already, which the rounds can read."""
+    narrow = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    narrow = narrow if stored else materialize(narrow)
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(f"`{c}`")
@@ -105,5 +107,5 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str
     return out
 
 
-def median(df: DataFrame, column: str) -> float | None:
-    return quantiles(df, [column], [0.5])[column][0]
+def median(df: DataFrame, column: str, stored: bool = False) -> float | None:
+    return quantiles(df, [column], [0.5], stored)[column][0]

@@ -122,3 +122,50 @@ def one_hot(spark, sf_dir):
     g = features.one_hot(g, "ct", "contract_type")
     g = features.one_hot(g, "ec", "extent_competed")
     return g.drop("contract_type", "competition", "ct", "ec")
+
+
+_TEMPORAL_SQL = f"""(SELECT piid, CAST(year(effective_date) AS INTEGER) AS y, CAST(quarter(effective_date) AS INTEGER) AS q, CAST(month(effective_date) AS INTEGER) AS m,
+  CAST(month(effective_date) = 9 AS INTEGER) AS e, {days('initial_completion_date', 'effective_date')} AS d FROM {L} t WHERE piid % 7 <> 3)"""
+_TEMPORAL = ["contract_start_year", "contract_start_quarter", "contract_start_month", "is_end_of_fiscal_year", "years_since_2015", "contract_duration_planned_days"]
+
+
+def _temporal_join(spark, sf_dir):
+    """The labelled contracts and a temporal table that lacks every seventh of them."""
+    lab = labelled_history(spark, sf_dir)
+    t = features.temporal_features(lab, "effective_date", "initial_completion_date").filter(F.col("piid") % 7 != 3).select("piid", *_TEMPORAL)
+    return features.join_temporal(lab.select("piid"), t, "piid")
+
+
+@query("temporal_join", f"""
+SELECT l.piid, COALESCE(y, CAST(floor(median(y) OVER ()) AS INTEGER)) AS contract_start_year, COALESCE(q, 1) AS contract_start_quarter, COALESCE(m, 1) AS contract_start_month,
+  COALESCE(e, 0) AS is_end_of_fiscal_year, COALESCE(y - 2015, CAST(trunc(median(y - 2015) OVER ()) AS INTEGER)) AS years_since_2015,
+  CAST(COALESCE(d, 365) AS INTEGER) AS contract_duration_planned_days FROM {L} l LEFT JOIN {_TEMPORAL_SQL} t USING (piid)""")
+def temporal_join(spark, sf_dir):
+    """Contracts left-joined to temporal features, unmatched ones with the defaults."""
+    return _temporal_join(spark, sf_dir)[0].select("piid", *_TEMPORAL)
+
+
+@query("temporal_match_rate", f"""
+SELECT count(*) AS n_rows, count(t.piid) AS n_matched, round(count(t.piid) / count(*)::DOUBLE, 6) AS match_rate FROM {L} l LEFT JOIN {_TEMPORAL_SQL} t USING (piid)""")
+def temporal_match_rate(spark, sf_dir):
+    """Share of contracts that have temporal features."""
+    return rounded(_temporal_join(spark, sf_dir)[1])
+
+
+@query("inner_alignment", """
+SELECT count(DISTINCT l.doc_id) AS n_left, (SELECT count(DISTINCT doc_id) FROM documents WHERE length(text) >= 100) AS n_right,
+  (SELECT count(DISTINCT doc_id) FROM labels JOIN documents USING (doc_id) WHERE length(text) >= 100) AS n_both FROM labels l""")
+def inner_alignment(spark, sf_dir):
+    """Labelled documents and documents long enough for topics, aligned on the keys that both have."""
+    left = bindings.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    right = bindings.table(spark, sf_dir, "documents").filter(F.length("text") >= 100).select("doc_id", "n_chars")
+    return features.align_inner(left, right, "doc_id")[1]
+
+
+@query("inf_to_zero", """
+SELECT doc_id, round(CASE WHEN quality = 0 OR isinf(n_chars / quality::DOUBLE) OR isnan(n_chars / quality::DOUBLE) THEN 0 ELSE n_chars / quality::DOUBLE END, 6) AS ratio FROM documents JOIN labels USING (doc_id)""")
+def inf_to_zero(spark, sf_dir):
+    """C14: a ratio whose denominator may be 0 (an infinity there) becomes 0."""
+    d = bindings.labelled_documents(spark, sf_dir)
+    ratio = F.when(F.col("quality") == 0, F.lit(float("inf"))).otherwise(F.col("n_chars").cast("double") / F.when(F.col("quality") != 0, F.col("quality")))
+    return rounded(d.select("doc_id", scalars.inf_to_zero(ratio).alias("ratio")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerfold.operators import filters, labels, quality
+from ledgerfold.operators import linkage, filters, labels, quality
 from ledgerfold.plans.common import rounded
 from ledgerfold.plans.q_labels import (_A_HIST, _HOLEY_SQL, _LABELLED_SQL, _holey, history_actions,
                                        labelled_history)
@@ -290,3 +290,27 @@ def summary_long(spark, sf_dir):
                                                 F.col(c).cast("double").alias("value")) for s, m, c in items]))
                    .alias("x")).select("x.*")
     return rounded(ra.unionByName(rl))
+
+
+@query("example_texts", """
+SELECT kind, doc_id, left(text, 80) AS text FROM (
+  SELECT * FROM (SELECT 'short' AS kind, doc_id, text FROM documents WHERE length(text) < 100 ORDER BY doc_id LIMIT 5) a
+  UNION ALL SELECT * FROM (SELECT 'long' AS kind, doc_id, text FROM documents WHERE length(text) > 500 ORDER BY doc_id LIMIT 5) b) x""")
+def example_texts(spark, sf_dir):
+    """The first five short and long texts by key, cut to 80 characters (the report's limit)."""
+    d = bindings.table(spark, sf_dir, "documents").select("doc_id", "text")
+    short = quality.examples(d, "text", "doc_id", 5, 80, short_below=100)
+    long = quality.examples(d, "text", "doc_id", 5, 80, long_above=500)
+    return short.select(F.lit("short").alias("kind"), "doc_id", "text").unionByName(long.select(F.lit("long").alias("kind"), "doc_id", "text"))
+
+
+@query("link_guard_rails", f"""
+WITH n AS (SELECT count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+SELECT 'no_linked_rows' AS "check", n::DOUBLE AS value, 1.0::DOUBLE AS threshold, n < 1 AS triggered FROM n
+UNION ALL SELECT 'few_linked_rows', n::DOUBLE, 10.0::DOUBLE, n < 10 FROM n""")
+def link_guard_rails(spark, sf_dir):
+    """stop (no linked rows) and warning (fewer than ten) of the link validation."""
+    links = linkage.link_substring(bindings.programs(spark, sf_dir), "program_id", "program_name",
+                                   bindings.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    n = F.count(F.lit(1))
+    return rounded(quality.guard_rails([("no_linked_rows", n, 1.0, "<"), ("few_linked_rows", n, 10.0, "<")], links))
