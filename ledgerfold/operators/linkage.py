@@ -17,7 +17,10 @@ is formed:
   documents share a token.
 * fuzzy (J10): token-set Jaccard ≥ t found with the exact prefix filter:
   tokens ordered by (document frequency, token); two sets with Jaccard ≥ t
-  share a token within their first |s| − ceil(t·|s|) + 1 tokens.
+  share a token within their first |s| − ceil(t·|s|) + 1 tokens. Tokens that
+  the left side lacks come first and are only counted, so of the right side its
+  known tokens are shuffled once, and the similarity follows from them and the
+  sets' sizes.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerfold.functions import text as tx
 from ledgerfold.session import materialize
 
 ACRONYM = r"\(([A-Z0-9 -]+)\)"
 MODEL_NUMBER = r"^([A-Za-z]+-?[0-9][A-Za-z0-9-]*|[0-9]+-?[A-Za-z][A-Za-z0-9-]*)$"
 
 GRAM = 3
+BROADCAST_ROWS = 200_000  # a counted table of at most this many short rows goes to all tasks
 RARE = 1000  # a token of more documents is common: it is scored, but leads to documents by their classes alone
 
 
@@ -162,8 +167,10 @@ def link_substring(programs: DataFrame, p_key: str, p_name: str, docs: DataFrame
     short = pt.filter(F.col("_n") < 4)
     if not short.isEmpty():
         cand = cand.unionByName(_short_candidates(short, p_key, p_name, docs, d_key, d_text))
-    links = (cand.join(pn, p_key).join(docs.select(d_key, d_text), d_key)
-                      .filter(F.col(d_text).contains(F.col(p_name))).select(p_key, d_key))
+    cand = materialize(cand)
+    few = F.broadcast if cand.count() <= BROADCAST_ROWS else (lambda d: d)  # few candidates travel, not all texts
+    links = (docs.select(d_key, d_text).join(few(cand.join(pn, p_key)), d_key)
+                 .filter(F.col(d_text).contains(F.col(p_name))).select(p_key, d_key))
     return links.withColumn("match_score", F.lit(100)).withColumn("match_type", F.lit("substring_match"))
 
 
@@ -176,22 +183,32 @@ def link_fuzzy(left: DataFrame, l_key: str, l_text: str, right: DataFrame, r_key
                threshold: float = 0.85) -> DataFrame:
     """(l_key, r_key, similarity) with token-set Jaccard ≥ threshold (exact prefix-filter join)."""
     up, down = Fraction(str(threshold)).limit_denominator(10**6).as_integer_ratio()
-    ls = left.select(F.col(l_key).alias("_lk"), _token_set(l_text).alias("_s")).filter(F.size("_s") > 0)
-    rs = right.select(F.col(r_key).alias("_rk"), _token_set(r_text).alias("_s")).filter(F.size("_s") > 0)
-    # document frequency over both sides (partial-aggregated)
-    toks = ls.select(F.explode("_s").alias("tok")).unionAll(rs.select(F.explode("_s").alias("tok")))
-    dfreq = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefixes(s: DataFrame, k: str) -> DataFrame:
-        e = s.select(k, F.size("_s").alias("_n"), F.explode("_s").alias("tok")).join(dfreq, "tok")
-        ordered = e.groupBy(k, "_n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("_o"))  # one set
+    # one row a key and set: a key that occurs twice with different texts has two sets
+    ls = materialize(left.select(F.col(l_key).alias("_lk"), tx.once("_s", _token_set(l_text))).filter(F.size("_s") > 0).distinct())
+    lt = materialize(ls.select("_lk", F.size("_s").alias("_n"), F.xxhash64("_s").alias("_h"), F.explode("_s").alias("tok")))
+    few = F.broadcast if lt.count() <= BROADCAST_ROWS else (lambda d: d)  # the left side travels if it is small, whatever the right one's size
+    words = materialize(lt.select("tok").distinct())
+    rs = right.select(F.col(r_key).alias("_rk"), tx.once("_s", _token_set(r_text)))
+    rt = rs.select("_rk", F.size("_s").alias("_n"), F.xxhash64("_s").alias("_h"), F.explode("_s").alias("tok")).join(few(words), "tok", "left_semi")
+    # a right token that no left set has matches nothing: such tokens come first in the order and are only counted
+    dfreq = materialize(lt.select("tok").unionAll(rt.select("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df")))
+
+    def ordered(t: DataFrame, k: str) -> DataFrame:
+        """A row a set: its tokens that the left side knows, rarest first, and how many of those its prefix holds."""
+        o = t.join(few(dfreq), "tok").groupBy(k, "_n", "_h").agg(F.array_sort(F.collect_set(F.struct("df", "tok"))).alias("_o"))  # one set
         p = F.col("_n") - F.expr(f"(_n * {up}L + {down - 1}L) div {down}L") + 1  # whole numbers: no token short
-        return ordered.select(k, F.explode(F.slice("_o", 1, p)).alias("x")).select(k, F.col("x.tok").alias("tok"))
-
-    cand = prefixes(ls, "_lk").join(prefixes(rs, "_rk"), "tok").select("_lk", "_rk").distinct()
-    j = cand.join(ls, "_lk").join(rs.withColumnRenamed("_s", "_s2"), "_rk")
-    inter = F.size(F.array_intersect("_s", "_s2"))
-    union = F.size(F.array_union("_s", "_s2"))
+        return o.withColumn("_p", p - (F.col("_n") - F.size("_o")))
+
+    def prefixes(o: DataFrame, *keys: str) -> DataFrame:
+        return o.select(*keys, F.explode(F.slice("_o", 1, F.greatest("_p", F.lit(0)).cast("int"))).alias("x")).select(*keys, F.col("x.tok").alias("tok"))
+
+    of_left = materialize(ordered(lt, "_lk").withColumnRenamed("_h", "_lh"))
+    of_right = ordered(rt, "_rk").filter("_p > 0")
+    cand = prefixes(of_right, "_rk", "_n", "_h").join(few(prefixes(of_left, "_lk", "_lh")), "tok").select("_rk", "_n", "_h", "_lk", "_lh").distinct()
+    sets = of_left.select("_lk", "_lh", F.col("_n").alias("_ln"), F.col("_o.tok").alias("_ls"))
+    j = cand.join(of_right.select("_rk", "_n", "_h", F.col("_o.tok").alias("_rs")), ["_rk", "_n", "_h"]).join(few(sets), ["_lk", "_lh"])
+    inter = F.size(F.array_intersect("_ls", "_rs")).cast("bigint")  # what the left side doesn't know is in no intersection
+    union = F.col("_ln") + F.col("_n") - inter
     return (j.select(F.col("_lk").alias(l_key), F.col("_rk").alias(r_key), (inter / union).alias("similarity"), (inter * down >= union * up).alias("_ok"))
              .filter("_ok").drop("_ok"))
 

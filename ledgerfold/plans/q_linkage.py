@@ -208,7 +208,7 @@ def link_short_names(spark, sf_dir):
 def _lines(spark, sf_dir):
     d = _docs(spark, sf_dir)
     return (d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-             .withColumn("line_key", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line_no").cast("string"))))
+             .withColumn("line_key", F.struct("doc_id", "line_no")))
 
 
 _TS = "list_distinct(list_filter(regexp_split_to_array(lower(COALESCE({x}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 0))"
@@ -224,8 +224,7 @@ def link_fuzzy(spark, sf_dir):
     """Program names vs document lines with token-set Jaccard ≥ 0.85 (exact prefix-filter join)."""
     lines = _lines(spark, sf_dir)
     f = linkage.link_fuzzy(_programs(spark, sf_dir), "program_id", "program_name", lines, "line_key", "line", 0.85)
-    out = f.join(lines.select("line_key", "doc_id", "line_no"), "line_key")
-    return rounded(out.select("program_id", "doc_id", "line_no", "similarity"))
+    return rounded(f.select("program_id", "line_key.doc_id", "line_key.line_no", "similarity"))
 
 
 _BEST_SQL = f"""(WITH l AS (SELECT * FROM {_SUBSTR_SQL} s UNION ALL SELECT * FROM {_TOKEN_SQL} t UNION ALL
@@ -241,8 +240,7 @@ def _best(spark, sf_dir):
     p, d = _programs(spark, sf_dir), _docs(spark, sf_dir)
     lines = _lines(spark, sf_dir)
     fz = (linkage.link_fuzzy(p, "program_id", "program_name", lines, "line_key", "line", 0.85)
-          .join(lines.select("line_key", "doc_id"), "line_key")
-          .groupBy("program_id", "doc_id").agg(F.floor(F.max("similarity") * 100).cast("int").alias("match_score"))
+          .groupBy("program_id", F.col("line_key.doc_id").alias("doc_id")).agg(F.floor(F.max("similarity") * 100).cast("int").alias("match_score"))
           .withColumn("match_type", F.lit("fuzzy_match")))
     links = (linkage.link_substring(p, "program_id", "program_name", d, "doc_id", "text")
              .unionByName(linkage.link_token(p, "program_id", "program_name", d, "doc_id", "text")).unionByName(fz))
@@ -296,8 +294,7 @@ def link_fuzzy_wide(spark, sf_dir):
     """J10 at a similarity of 0.6 or more, which the test lines reach."""
     lines = _lines(spark, sf_dir)
     f = linkage.link_fuzzy(_programs(spark, sf_dir), "program_id", "program_name", lines, "line_key", "line", 0.6)
-    out = f.join(lines.select("line_key", "doc_id", "line_no"), "line_key")
-    return rounded(out.select("program_id", "doc_id", "line_no", "similarity"))
+    return rounded(f.select("program_id", "line_key.doc_id", "line_key.line_no", "similarity"))
 
 
 @query("match_type_summary", f"""

@@ -1,4 +1,4 @@
-"""What is shuffled and how often a text is read: vocabularies per fold, tokens."""
+"""What is shuffled and how often a text is read: fuzzy links, vocabularies per fold, tokens."""
 
 import random
 import re
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions import text as tx
 from ledgerfold.operators import folds as fd
+from ledgerfold.operators import linkage
 from ledgerfold.operators import text as ot
 from ledgerfold.plans.q_text import track_a_of
 
@@ -16,6 +17,38 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_fuzzy_right_side_moves_its_known_tokens_once(spark):
+    left = spark.createDataFrame([(1, "a b c d")], "l long, t string")
+    right = spark.createDataFrame([((1, 0), "a b c d e"), ((1, 1), "x y z"), ((2, 0), "d c b a"), ((3, 0), "")], "r struct<d:long, n:int>, t string")
+    out = linkage.link_fuzzy(left, "l", "t", right, "r", "t", 0.6)
+    p = plan(out)
+    assert "hashpartitioning(tok" not in p  # a row a token of the right side would be moved
+    got = {(r["l"], r["r"]["d"], r["r"]["n"]): r["similarity"] for r in out.collect()}
+    assert got == {(1, 1, 0): pytest.approx(0.8), (1, 2, 0): 1.0}
+
+
+def test_fuzzy_key_with_two_texts(spark):
+    """A key that occurs with two texts has two sets: neither borrows the other's tokens."""
+    left = spark.createDataFrame([(1, "a b c d")], "l long, t string")
+    right = spark.createDataFrame([(7, "a b x y"), (7, "c d u v"), (8, "a b c d")], "r long, t string")
+    assert [(r["l"], r["r"]) for r in linkage.link_fuzzy(left, "l", "t", right, "r", "t", 0.9).collect()] == [(1, 8)]
+
+
+def test_fuzzy_links_alike_if_the_left_side_is_large(spark, monkeypatch):
+    draw = random.Random(3)
+    rows = [(i, " ".join(draw.choice("abcdefghij") for _ in range(draw.randint(0, 7)))) for i in range(60)]
+    left, right = spark.createDataFrame(rows[:20], "l long, t string"), spark.createDataFrame(rows[20:], "r long, t string")
+
+    def links():
+        return {(r["l"], r["r"], r["similarity"]) for r in linkage.link_fuzzy(left, "l", "t", right, "r", "t", 0.5).collect()}
+    small = links()
+    monkeypatch.setattr(linkage, "BROADCAST_ROWS", 0)
+    sets = {i: set(t.split()) for i, t in rows}
+    brute = {(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in range(20) for b in range(20, 60)
+             if sets[a] and sets[b] and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    assert small == links() == brute
+
+
 @pytest.mark.parametrize("features, min_df, max_df", [(2, 1, 1.0), (3, 2, 0.5), (4, 1, 0.3), (50, 1, 1.0)])
 def test_fold_terms_are_those_of_all_counts(spark, features, min_df, max_df):
     """Few candidates give the vocabulary of all terms, also where frequent terms are held out or too common."""
