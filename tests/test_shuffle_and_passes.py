@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions import text as tx
 from ledgerfold.operators import folds as fd
-from ledgerfold.operators import linkage
+from ledgerfold.operators import linkage, topics
 from ledgerfold.operators import text as ot
 from ledgerfold.plans.q_text import track_a_of
 
@@ -90,3 +90,13 @@ def test_tokens_are_made_once(spark):
     assert plan(ta).count("regexp_extract_all") == 1
     assert plan(ot.tfidf_corpus(d, "doc_id", "text")).count("regexp_extract_all") == 1
     assert ta.count() == 5
+
+
+def test_topic_vocabulary_counts_documents_without_keeping_their_tokens(spark):
+    """CountVectorizer caches whole partitions of tokens if a bound is a share (it must count rows first)."""
+    rows = [(i, ["all", "even" if i % 2 == 0 else "odd", f"w{i % 5}"] + ["most"] * (i % 3 > 0)) for i in range(31)]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    model, _ = topics.bow_vectors(docs, "tokens", 5, 0.5)
+    assert model.getMaxDF() == 15.5
+    assert set(model.vocabulary) == {"odd", *(f"w{i}" for i in range(5))}  # "even" is in 16 of 31
+    assert topics.most_documents(0.5, 1) == 0.5 and topics.most_documents(0.5, 0) == 0.5
