@@ -15,7 +15,9 @@ folder is a local one, and reads the byte ranges otherwise.
 The tokenizers library encodes every text. Where its pre-tokenizer can only
 break at a single blank between two other characters, a text is cut there
 first, and the library's ids of a piece are remembered by the worker process,
-also from task to task, so that a word is not encoded at each occurrence.
+also from task to task, so that a word is not encoded at each occurrence. New
+pieces are encoded many in one text, joined by such blanks, and told apart by
+the bytes that each id stands for.
 
 Defined results: a null or empty text is a document of the end id alone; null
 doc_ids come first; rows of equal doc_id are ordered by a hash of the text;
@@ -31,7 +33,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +58,8 @@ class Encoder:
     # other than white space, in any Unicode version
     DARK = "[^\\s\\u180e\\u200b\\ufeff]"
     CUT = re.compile(f" (?<={DARK} )(?={DARK})")
-    LONGEST, MOST = 64, 600_000
+    ENDS_DARK = re.compile(f"{DARK}\\Z")
+    LONGEST, MOST, JOINED = 64, 600_000, 256
 
     def __init__(self, tokenizer_path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
@@ -70,6 +73,10 @@ class Encoder:
                      and not spec["post_processor"] and not spec["truncation"] and not spec["padding"] and not spec["model"].get("dropout")
                      and all(t["special"] for t in spec["added_tokens"]))
         self.known: dict[str, bytes] = {}
+        vocab = self.tok.get_vocab()
+        self.n_bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # a character of the byte-level alphabet is a byte
+        for token, i in vocab.items():
+            self.n_bytes[i] = len(token)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
@@ -78,20 +85,41 @@ class Encoder:
         ends = [0, *accumulate(len(ids) * self.width for ids in encoded)]
         return [data[a:b] for a, b in pairwise(ends)]
 
+    def following(self, words: list[str]) -> list[bytes]:
+        """The ids of ``words``, each after a blank; all of them begin and end with other characters."""
+        groups = [words[i:i + self.JOINED] for i in range(0, len(words), self.JOINED)]
+        encoded = [e.ids for e in self.tok.encode_batch_fast([f" {' '.join(g)}" for g in groups], add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(encoded), dtype=f"<u{self.width}")
+        ends = np.cumsum(self.n_bytes[ids])
+        stops = np.cumsum(np.fromiter((len(w.encode("utf-8")) + 1 for w in words), dtype=np.int64, count=len(words)))
+        at = np.searchsorted(ends, stops)
+        if len(at) and (at[-1] != len(ends) - 1 or (ends[at] != stops).any()):  # ids that are no plain bytes
+            return self.whole([f" {w}" for w in words])
+        data, cut = ids.tobytes(), ((at + 1) * self.width).tolist()
+        return [data[a:b] for a, b in pairwise([0, *cut])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self.whole(texts)
         pieces = [self.CUT.split(t) for t in texts]
         heads = self.whole([p.pop(0) for p in pieces])
-        rest = set().union(*pieces)
-        new = list(rest.difference(self.known))
-        known = self.known
-        known.update(zip(new, self.whole([f" {w}" for w in new]), strict=True))
-        out = [h + b"".join(map(known.__getitem__, p)) for h, p in zip(heads, pieces, strict=True)]
+        known, flat = self.known, list(chain.from_iterable(pieces))
+        found = list(map(known.get, flat))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = set(map(flat.__getitem__, missing))
+        blank = [w for w in {p[-1] for p in pieces if p} & new if not self.ENDS_DARK.search(w)]  # the last of a text alone can be so
+        known.update(zip(blank, self.whole([f" {w}" for w in blank]), strict=True))
+        dark = list(new.difference(blank))
+        known.update(zip(dark, self.following(dark), strict=True))
+        for i in missing:
+            found[i] = known[flat[i]]
+        ids = iter(found)
+        out = [h + b"".join(islice(ids, len(p))) for h, p in zip(heads, pieces, strict=True)]
         for w in new:
             if len(w) > self.LONGEST:
                 del known[w]
         if len(known) > self.MOST:  # the pieces of the last texts stay
+            rest = set(flat)
             self.known = {w: known[w] for w in rest.intersection(known)} if len(rest) < self.MOST else {}
         return out
 

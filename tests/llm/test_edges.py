@@ -179,6 +179,21 @@ def test_pieces_forgotten_and_long(monkeypatch):
         assert all(len(w) <= enc.LONGEST for w in enc.known)
 
 
+def test_new_pieces_are_encoded_many_in_one_text():
+    enc, given = token_files.Encoder(queries.TOKENIZER, 0), []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **more):
+            given.extend(texts)
+            return ENCODER.tok.encode_batch_fast(texts, **more)
+    enc.tok = Spy()
+    text = " ".join(f"w{i}\u00e9\u4e2d." for i in range(1000)) + " tail\u3000"
+    assert enc.encode([text, "a b"]) == ENCODER.whole([text, "a b"])
+    assert len(given) < 10  # two heads, the piece that ends blank, the others by hundreds
+    enc.n_bytes[:] = 7  # ids whose bytes do not fit the pieces
+    assert enc.following(["x", "yy z"]) == ENCODER.whole([" x", " yy z"])
+
+
 def test_token_files_empty(none):
     assert rows(token_files.read(token_files.write(none, queries.TOKENIZER), 1)) == []
 
