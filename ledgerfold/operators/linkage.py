@@ -128,7 +128,8 @@ def tokens_holding(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(part, token): the tokens of ``vocabulary`` (token) that contain each of ``parts`` (part), which are not empty."""
     size = F.least(F.length("part"), F.lit(GRAM))
     keyed = parts.select("part", F.explode(F.filter(_grams("part"), lambda g: F.length(g) == size)).alias("bg"))
-    of = vocabulary.select("token", F.explode(_grams("token")).alias("bg"))
+    at = vocabulary.filter(F.length("token") > 0).select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("_i"))
+    of = at.select("token", F.explode(F.array(*[F.substring("token", F.col("_i"), F.lit(size)) for size in range(1, GRAM + 1)])).alias("bg"))
     return _rarest_key_links(keyed, "part", of, "token").filter(F.col("token").contains(F.col("part")))
 
 
@@ -138,6 +139,7 @@ def _short_candidates(short: DataFrame, p_key: str, p_name: str, docs: DataFrame
     anchor = (F.when(F.col("_n") == 3, two).when(F.col("_n") == 1, one)
               .when(F.col("_n") == 2, F.when(F.length(one) >= F.length(two), one).otherwise(two)).otherwise(F.col(p_name)))
     whole, blank = F.col("_n") == 3, F.col("_n") == 0
+    docs = docs.filter(F.col(d_key).isNotNull())  # a null key is linked with nothing
     anchors = materialize(short.select(p_key, anchor.alias("part"), whole.alias("whole"), blank.alias("blank")))
     tokens = docs.select(d_key, F.explode(F.array_distinct(_tokens(d_text))).alias("token"))
     found = anchors.filter("whole").join(tokens, F.col("part") == F.col("token")).select(p_key, d_key)
@@ -147,8 +149,12 @@ def _short_candidates(short: DataFrame, p_key: str, p_name: str, docs: DataFrame
         mine = anchors.filter(which)
         if mine.isEmpty():
             continue
-        holding = tokens_holding(mine.select("part").distinct(), runs.select("token").distinct())
-        found = found.unionByName(mine.join(holding, "part").select(p_key, "token").distinct().join(runs, "token").select(p_key, d_key))
+        parts = materialize(mine.select("part").distinct().withColumn("no", F.monotonically_increasing_id()))
+        holding = tokens_holding(parts.select("part"), runs.select("token").distinct()).join(F.broadcast(parts), "part")
+        # a row a token and document with the numbers of all parts that the token holds: neither parts nor names multiply the texts' tokens
+        held = holding.groupBy("token").agg(F.collect_set("no").alias("held"))
+        of = runs.join(held, "token").groupBy(d_key).agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))
+        found = found.unionByName(of.select(d_key, F.explode("held").alias("no")).join(F.broadcast(mine.join(parts, "part").select(p_key, "no")), "no").select(p_key, d_key))
     return found.distinct()
 
 

@@ -100,3 +100,22 @@ def test_topic_vocabulary_counts_documents_without_keeping_their_tokens(spark):
     assert model.getMaxDF() == 15.5
     assert set(model.vocabulary) == {"odd", *(f"w{i}" for i in range(5))}  # "even" is in 16 of 31
     assert topics.most_documents(0.5, 1) == 0.5 and topics.most_documents(0.5, 0) == 0.5
+
+
+def test_short_names_do_not_multiply_the_texts_tokens(spark):
+    """Names and parts meet a text once each, not once for each of its tokens that holds them."""
+    names = [(i, n) for i, n in enumerate(["an", "an", "a", "é", "an ba", "ban ana", "n", "ana x ban", " ", "zz", "\U0001F600"])]
+    texts = [(1, "banana anab ana x ban an"), (2, "an ba"), (3, "é\U0001F600 n"), (4, ""), (5, None), (None, "an an"), (2, "caban anax")]
+    p, d = spark.createDataFrame(names, "p long, name string"), spark.createDataFrame(texts, "d long, t string")
+    out = linkage.link_substring(p, "p", "name", d, "d", "t")
+    assert sorted((r["p"], r["d"]) for r in out.distinct().collect()) == sorted(
+        {(i, k) for i, n in names for k, t in texts if k is not None and t is not None and n in t})
+    short = p.withColumn("_t", linkage._tokens("name")).withColumn("_n", F.size("_t"))
+    assert "collect_set(no" in plan(linkage._short_candidates(short, "p", "name", d, "d", "t"))  # one row carries all its parts' numbers
+
+
+def test_tokens_holding_parts_of_any_length(spark):
+    parts = ["a", "bc", "abc", "abcd", "é", "\U0001F600", "zz"]
+    tokens = ["", "a", "abcd", "xabcdabcd", "é\U0001F600", "bc", "z"]
+    got = linkage.tokens_holding(spark.createDataFrame([(x,) for x in parts], "part string"), spark.createDataFrame([(x,) for x in tokens], "token string"))
+    assert sorted((r["part"], r["token"]) for r in got.collect()) == sorted((x, t) for x in parts for t in tokens if x in t)
