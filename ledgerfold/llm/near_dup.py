@@ -12,11 +12,16 @@ process), others part. A node ends
 * when all of its members are in one component already (it can add no link);
 * when it is small, or few members are outside its largest component: those are
   compared with every member, exhaustively;
-* otherwise all members are compared with one pivot, and the node branches on.
+* otherwise all members are compared with a few pivots, and the node branches on.
 
 Comparisons look at the signatures' agreement (a bound five and a half standard
 deviations under the threshold) and then confirm the link on the whole shingle
-sets. Links between members of one component are not confirmed again. The
+sets. First every class tries the partner that agrees most with it. Then the
+members of a node that hang together by plausible pairs between components are
+a group; a group's texts are brought together once, and all of its sets are
+compared there, so that what is moved grows with the members and not with the
+pairs. Equal groups of several trees are one. Links between members of one
+component are not confirmed again. The
 number of trees follows from the target recall of one link for walks of DEPTH
 generations. Members of nodes that go on after those walk in more trees, as
 many as walks of twice the depth need, and so on until no node goes on for
@@ -39,19 +44,24 @@ import hashlib
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerfold.llm.common import MASK64, U64, WordHash, distinct, docs_view, map_rows, mix, shingles, signed, slices, written
 
 COORDINATES = 128
-ENTRY = "node long, class binary, sig binary"
+ENTRY = "node long, class binary, sig binary, size int"
+GROUP = "gid long, class binary, partner binary, agree int"
 WIDTH, THRESHOLD, RECALL = 5, 0.75, 0.9999
 FEW = 32  # a node with no more members outside its largest component is compared exhaustively
-SMALL = 256  # and so is a node with no more members
+SMALL = 2048  # and so is a node with no more members
+MOST_HELD = 4_000_000  # shingles (32 MB) of a node that is compared exhaustively, unless it has FEW members at most
+PIVOTS = 8
+MOST_TIED = 200_000  # links that one task ties together, about 60 MB; more take rounds over all tasks
 DEPTH = 4  # generations that the first trees are sized for
 MOST_SHIPPED = 500_000  # rows (class, id, hash) that go to every task at once, about 50 MB
 
@@ -125,36 +135,44 @@ def _class_rows(threshold: float, trees: int, width: int):
     return make
 
 
-def _children(threshold: float):
-    """Rows (node, member, sig) to the children that the node draws."""
+def _children(threshold: float, generations: int):
+    """Rows (node, member, sig, size) to the children that the node draws, so many generations on."""
     mean = 1 / threshold
 
+    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = batch.num_rows
+        if not n:
+            return
+        node = batch.column("node").to_numpy().view(U64)
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint8).reshape(n, COORDINATES)
+        low = math.floor(mean)
+        more = mix(node + U64(0x51ED270B)).astype(np.float64) / 2.0 ** 64 < mean - low
+        drawn = np.stack([mix(node + U64(0xA24BAED4963EE407 * (k + 1) & MASK64)) % U64(COORDINATES) for k in range(low + 1)])
+        for k in range(1, low + 1):  # drawn without replacement
+            for j in range(k):
+                drawn[k] = np.where(drawn[k] == drawn[j], (drawn[k] + U64(1)) % U64(COORDINATES), drawn[k])
+        for k in range(low + 1):
+            rows = np.flatnonzero(more) if k == low else np.arange(n)
+            if not len(rows):
+                continue
+            c = drawn[k][rows].astype(np.int64)
+            child = mix(node[rows] * U64(0xD1342543DE82EF95) + (c.astype(U64) << U64(8)) + sig[rows, c] + U64(1))
+            take = pa.array(rows)
+            rest = [batch.column(name).take(take) for name in ("class", "sig", "size")]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(child), pa.int64()), *rest], names=["node", "class", "sig", "size"])
+
+    def after(batch: pa.RecordBatch, left: int) -> Iterator[pa.RecordBatch]:
+        for out in step(batch):
+            yield from after(out, left - 1) if left > 1 else (out,)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            node = batch.column("node").to_numpy().view(U64)
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint8).reshape(n, COORDINATES)
-            low = math.floor(mean)
-            more = mix(node + U64(0x51ED270B)).astype(np.float64) / 2.0 ** 64 < mean - low
-            drawn = np.stack([mix(node + U64(0xA24BAED4963EE407 * (k + 1) & MASK64)) % U64(COORDINATES) for k in range(low + 1)])
-            for k in range(1, low + 1):  # drawn without replacement
-                for j in range(k):
-                    drawn[k] = np.where(drawn[k] == drawn[j], (drawn[k] + U64(1)) % U64(COORDINATES), drawn[k])
-            for k in range(low + 1):
-                rows = np.flatnonzero(more) if k == low else np.arange(n)
-                if not len(rows):
-                    continue
-                c = drawn[k][rows].astype(np.int64)
-                child = mix(node[rows] * U64(0xD1342543DE82EF95) + (c.astype(U64) << U64(8)) + sig[rows, c] + U64(1))
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(child), pa.int64()), batch.column("class").take(take), batch.column("sig").take(take)], names=["node", "class", "sig"])
+            yield from after(batch, generations)
     return run
 
 
 def _more_roots(threshold: float, low: int, high: int):
-    """Rows (class, sig) to the roots' children in the trees from ``low`` to ``high`` - 1."""
+    """Rows (class, sig, size) to the roots' children in the trees from ``low`` to ``high`` - 1."""
     roots = [(t, c) for t, c in root_plan(threshold, high) if t >= low]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,56 +182,146 @@ def _more_roots(threshold: float, low: int, high: int):
             for t, c in roots:
                 root = mix(np.array([t * 0xD6E8FEB86659FD93 + c & MASK64], dtype=U64))
                 node = mix(root + sig[:, c] + U64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(node), pa.int64()), batch.column("class"), batch.column("sig")], names=["node", "class", "sig"])
+                rest = [batch.column(name) for name in ("class", "sig", "size")]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(node), pa.int64()), *rest], names=["node", "class", "sig", "size"])
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch], key: str, *names: str) -> Iterator[list[tuple]]:
+    """The rows (``names``) of each value of ``key``; rows arrive sorted by it."""
+    now, held = None, []
+    for batch in (part for whole in batches for part in slices(whole, 4 << 20)):
+        for k, row in zip(batch.column(key).to_pylist(), zip(*(batch.column(c).to_pylist() for c in names), strict=True), strict=True):
+            if k != now:
+                if held:
+                    yield held
+                now, held = k, []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _gid(keys: list[bytes]) -> int:
+    """A group's name: equal groups have equal names, whichever node they come from."""
+    return int.from_bytes(hashlib.md5(b"".join(sorted(keys))).digest()[:8], "little", signed=True)
+
+
+def _group_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["gid", "class", "partner", "agree"])
+
+
 def _close(least: int):
-    """Rows of a node's member with the node's probes -> plausible pairs."""
+    """Rows of a large node's member with the probes of the node -> groups of one probe and the members plausible with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            mine, sig = batch.column("class").to_pylist(), batch.column("sig").to_pylist()
-            probes, probe_sigs = batch.column("probes").to_pylist(), batch.column("probe_sigs").to_pylist()
-            seen = set()
-            for x, s, others, their in zip(mine, sig, probes, probe_sigs, strict=True):
+        for batch in (part for whole in batches for part in slices(whole)):
+            near: dict[bytes, list[tuple]] = {}
+            cols = [batch.column(c).to_pylist() for c in ("class", "sig", "comp", "size", "probes", "probe_sigs", "probe_comps", "probe_sizes")]
+            for x, s, comp, size, others, their, comps, sizes in zip(*cols, strict=True):
                 at = np.frombuffer(b"".join(their), dtype=np.uint8).reshape(len(others), COORDINATES)
                 same = (at == np.frombuffer(s, dtype=np.uint8)).sum(axis=1)
                 for k in np.flatnonzero(same >= least).tolist():
-                    y = others[k]
-                    pair = (x, y) if x < y else (y, x)
-                    if x != y and pair not in seen:
-                        seen.add(pair)
-                        a.append(pair[0])
-                        b.append(pair[1])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                    if comps[k] != comp:
+                        near.setdefault(others[k], [(sizes[k],)]).append((x, size, int(same[k])))
+            out = []
+            for probe, (own, *members) in near.items():
+                part, held = {}, own[0]
+                for k, (x, size, same) in enumerate(members):
+                    part[x] = same
+                    held += size
+                    if k + 1 == len(members) or len(part) >= SMALL - 1 or held + members[k + 1][1] > MOST_HELD:
+                        gid, best = _gid([probe, *part]), max(part, key=lambda y: (part[y], y))
+                        out.append((gid, probe, best, part[best]))
+                        out += [(gid, y, probe, n) for y, n in part.items()]
+                        part, held = {}, own[0]
+            yield _group_batch(out)
     return run
 
 
-def _all_close(least: int):
-    """Rows of a small node's members -> plausible pairs between its components."""
+def _best_pivot(least: int):
+    """Rows of a large node's member with the node's pivots -> the plausible pivot that agrees most with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                found = set()
-                for members in part.column("members").to_pylist():
-                    keys = [m["class"] for m in members]
-                    comps = {c: i for i, c in enumerate({m["comp"] for m in members})}
-                    comp = np.array([comps[m["comp"]] for m in members])
-                    sig = np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint8).reshape(len(keys), COORDINATES)
-                    for i in range(1, len(keys)):
-                        same = (sig[:i] == sig[i]).sum(axis=1)
-                        for j in np.flatnonzero((same >= least) & (comp[:i] != comp[i])).tolist():
-                            found.add((keys[i], keys[j]) if keys[i] < keys[j] else (keys[j], keys[i]))
-                a, b = zip(*found, strict=True) if found else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        for batch in (part for whole in batches for part in slices(whole)):
+            out = []
+            cols = [batch.column(c).to_pylist() for c in ("class", "sig", "comp", "probes", "probe_sigs", "probe_comps")]
+            for x, s, comp, others, their, comps in zip(*cols, strict=True):
+                at = np.frombuffer(b"".join(their), dtype=np.uint8).reshape(len(others), COORDINATES)
+                same = (at == np.frombuffer(s, dtype=np.uint8)).sum(axis=1)
+                found = [(int(n), y) for n, y, c in zip(same, others, comps, strict=True) if n >= least and c != comp]
+                if found:
+                    n, y = max(found)
+                    out.append((0, x, y, n))
+            yield _group_batch(out)
+    return run
+
+
+def _plausible(least: int):
+    """Rows of small nodes' members, sorted by node -> groups that hang together by plausible pairs between components."""
+
+    def groups(members: list[tuple]) -> list[tuple]:
+        keys = [m[0] for m in members]
+        at = {c: i for i, c in enumerate({m[2] for m in members})}
+        if len(at) < 2:
+            return []
+        comp = np.array([at[m[2]] for m in members])
+        sig = np.frombuffer(b"".join(m[1] for m in members), dtype=np.uint8).reshape(len(keys), COORDINATES)
+        label, agree, partner = np.arange(len(keys)), np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        for i in range(1, len(keys)):
+            same = (sig[:i] == sig[i]).sum(axis=1)
+            hits = np.flatnonzero((same >= least) & (comp[:i] != comp[i]))
+            if not len(hits):
+                continue
+            n = same[hits]
+            agree[i], partner[i] = n.max(), hits[n.argmax()]
+            better = hits[n > agree[hits]]
+            agree[better], partner[better] = same[better], i
+            label[i] = label[hits].min()
+            label[np.isin(label, label[hits])] = label[i]
+        out, parts = [], {}
+        for i in np.flatnonzero(agree).tolist():
+            parts.setdefault(label[i], []).append(i)
+        for part in parts.values():
+            gid = _gid([keys[i] for i in part])
+            out += [(gid, keys[i], keys[partner[i]], int(agree[i])) for i in part]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for members in _runs(batches, "node", "class", "sig", "comp"):
+            out += groups(members)
+            if len(out) > 10_000:
+                yield _group_batch(out)
+                out = []
+        yield _group_batch(out)
     return run
 
 
 def _linked(threshold_pct: int, width: int):
-    """Pairs with both texts -> pairs whose whole sets have the similarity."""
+    """Rows of groups' members with their texts, sorted by group -> links between components, by whole sets; no more of
+    them than it takes to tie together what the group ties together."""
+
+    def links(members: list[tuple]) -> list[tuple]:
+        names = sorted({m[0] for m in members})
+        at = {c: i for i, c in enumerate(names)}
+        comp, sets = np.array([at[m[0]] for m in members]), [m[1] for m in members]
+        size = np.array([len(x) for x in sets])
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], np.repeat(np.arange(len(sets)), size)[order]
+        root, out = np.arange(len(names)), []
+        for x in np.flatnonzero(comp != np.bincount(comp).argmax()).tolist():  # members of the largest component meet all others
+            low, high = np.searchsorted(values, sets[x], "left"), np.searchsorted(values, sets[x], "right")
+            n = high - low
+            both = np.bincount(owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+            near = np.flatnonzero(100 * both >= threshold_pct * (size[x] + size - both))
+            for c in np.unique(comp[near]).tolist():
+                if root[c] != root[comp[x]]:
+                    out.append((names[c], names[comp[x]]))
+                    root[root == root[c]] = root[comp[x]]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, known, held = WordHash(), {}, 0
@@ -229,15 +337,18 @@ def _linked(threshold_pct: int, width: int):
                 held += len(got)
             return got
 
-        for batch in (part for whole_batch in batches for part in slices(whole_batch)):
-            cols = [batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")]
-            keep = []
-            for k, (a, b, ta, tb) in enumerate(zip(*cols, strict=True)):
-                x, y = whole(a, ta), whole(b, tb)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= threshold_pct * (len(x) + len(y) - both):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
+        def sets() -> Iterator[tuple]:
+            for batch in (part for whole_batch in batches for part in slices(whole_batch, 4 << 20)):
+                for gid, key, comp, text in zip(*(batch.column(c).to_pylist() for c in ("gid", "class", "comp", "text")), strict=True):
+                    yield gid, comp, whole(key, text)
+
+        out = []
+        for _, members in groupby(sets(), key=lambda row: row[0]):
+            out += links([m[1:] for m in members])
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*out, strict=True) if out else ((), ()))], names=["a", "b"])
     return run
 
 
@@ -245,13 +356,33 @@ def fingerprint(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*df.columns))).first())
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of one task -> (member, comp) of every end, comp the smallest member reachable."""
+    up: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            low, high = sorted((top(a), top(b)))
+            up[high] = low
+    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.binary()), pa.array([top(x) for x in list(up)], pa.binary())], names=["member", "comp"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(member, comp) of every end of ``edges`` (a, b): comp is the smallest member reachable.
 
-    Large-star and small-star rounds: every node's neighbours are linked to its
+    MOST_TIED links at most are tied together in one task. More take large-star
+    and small-star rounds: every node's neighbours are linked to its
     smallest neighbour, until nothing changes. Minima are taken as sums are, so
     a hub with a third of all edges is no single group.
     """
+    if edges.count() <= MOST_TIED:
+        return written(edges.filter("a <> b").coalesce(1).mapInArrow(_forest, "member binary, comp binary"), "forest")
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
     while True:
@@ -282,16 +413,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = docs_view(docs, id_col, text_col)
     rows = written(map_rows(d.withColumn("tie", F.xxhash64("text")), _class_rows(threshold, trees, width), "doc_id long, tie long, class binary, n_shingles long, roots array<long>, sig binary"), "rows")
     classes = written(rows.filter("n_shingles > 0").groupBy("class").agg(
-        F.min("doc_id").alias("first_id"), F.first("roots").alias("roots"), F.first("sig").alias("sig")), "classes")
+        F.min("doc_id").alias("first_id"), F.first("roots").alias("roots"), F.first("sig").alias("sig"), F.max("n_shingles").cast("int").alias("size")), "classes")
     # nodes of one member go before signatures are carried anywhere
     entries = classes.select(F.explode("roots").alias("node"), "class")
     sizes = entries.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
-    level = written(entries.join(sizes, "node", "left_semi").join(classes.select("class", "sig"), "class").select("node", "class", "sig"), "level")
+    level = written(entries.join(sizes, "node", "left_semi").join(classes.select("class", "sig", "size"), "class").select("node", "class", "sig", "size"), "level")
     comp = spark.createDataFrame([], "member binary, comp binary")
     texts = None
     deep: dict[int, list[DataFrame]] = {}  # members of nodes that go on at DEPTH generations, twice as many, ...
     while True:
-        if not level.take(1):
+        if level is None or not level.take(1):
             if sized not in deep:
                 break
             members = written(reduce(DataFrame.unionByName, deep[sized]).dropDuplicates(["class"]), "deep")
@@ -302,37 +433,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             grown = written(members.mapInArrow(_more_roots(threshold, before, trees), ENTRY), "more")
             level = _shared(grown)
             continue
-        placed = level.join(comp.withColumnRenamed("member", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-        placed = written(placed.select("node", "class", "sig", "comp"), "placed")
-        by_comp = placed.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
-        nodes = by_comp.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most")).withColumn(
+        if texts is None:  # at the roots: every class is a component
+            placed = level.withColumn("comp", F.col("class"))
+        else:
+            placed = level.join(comp.withColumnRenamed("member", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+            placed = written(placed.select("node", "class", "sig", "size", "comp"), "placed")
+        by_comp = placed.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+        nodes = by_comp.groupBy("node").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "comp")).alias("most")).withColumn(
             "outside", F.col("n") - F.col("most.n")).filter("outside > 0")
-        nodes = written(nodes.select("node", "n", "outside", F.col("most.comp").alias("main")), "nodes")
-        # nodes of SMALL members at most are gathered, each in one row
-        small = placed.join(nodes.filter(F.col("n") <= SMALL).select("node"), "node").groupBy("node").agg(
-            F.collect_list(F.struct("class", "sig", "comp")).alias("members")).select("members").mapInArrow(_all_close(least), "a binary, b binary")
-        # of large nodes, the members (FEW at most) outside the main component, or a pivot, go to all members
-        few = nodes.filter((F.col("n") > SMALL) & (F.col("outside") <= FEW)).select("node", "main")
-        big = written(placed.join(nodes.filter((F.col("n") > SMALL) & (F.col("outside") > FEW)).select("node"), "node").select("node", "class", "sig"), "big")
-        probes = placed.join(few, "node").filter("comp <> main").groupBy("node").agg(F.collect_list(F.struct("class", "sig")).alias("p"))
-        pivots = big.groupBy("node").agg(F.min(F.struct(F.xxhash64("class").alias("o"), "class", "sig")).alias("p")).select(
-            "node", F.array(F.struct("p.class", "p.sig")).alias("p"))
-        probes = probes.unionByName(pivots).select("node", F.col("p.class").alias("probes"), F.col("p.sig").alias("probe_sigs"))
-        large = placed.select("node", "class", "sig").join(probes, "node").select("class", "sig", "probes", "probe_sigs").mapInArrow(
-            _close(least), "a binary, b binary")
-        pairs = written(small.unionByName(large).distinct(), "pairs")
-        first = texts is None
-        if first:  # at the roots: texts of every class that a later comparison can need
-            live = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(big.select("class")).distinct()
-            texts = _texts(d, rows, live)
-        comp = _confirm(pairs, comp, texts, pct, width, first)
+        exhaustive = (F.col("n") <= FEW) | ((F.col("n") <= SMALL) & (F.col("size") <= MOST_HELD))
+        kind = F.when(exhaustive, "small").when(F.col("outside") <= FEW, "few").otherwise("big")
+        nodes = written(nodes.select("node", kind.alias("kind"), F.col("most.comp").alias("main")), "nodes")
+        kinds = {r["kind"] for r in nodes.select("kind").distinct().collect()}  # three at most
+        small = placed.join(nodes.filter("kind = 'small'").select("node"), "node", "left_semi").select("node", "class", "sig", "comp")
+        groups = small.repartition("node").sortWithinPartitions("node", "class").mapInArrow(_plausible(least), GROUP)
+        if "few" in kinds:  # of large nodes, the members (FEW at most) outside the main component go to all members
+            outside = placed.join(nodes.filter("kind = 'few'").select("node", "main"), "node").filter("comp <> main")
+            groups = groups.unionByName(_with_probes(placed, outside).mapInArrow(_close(least), GROUP))
+        groups = written(groups.dropDuplicates(["gid", "class"]), "groups")
+        best, live, big = groups.select("class", "partner", "agree"), groups.select("class"), None
+        if "big" in kinds:  # of the others, some pivots go to all members, which try the one that agrees most
+            big = written(placed.join(nodes.filter("kind = 'big'").select("node"), "node", "left_semi"), "big")
+            pivots = big.groupBy("node", F.pmod(F.xxhash64(F.lit(1), "class"), F.lit(PIVOTS)).alias("k")).agg(
+                F.min(F.struct(F.xxhash64("class").alias("o"), "class", "sig", "comp", "size")).alias("p")).select("node", "p.class", "p.sig", "p.comp", "p.size")
+            best = best.unionByName(_with_probes(big, pivots).mapInArrow(_best_pivot(least), GROUP).select("class", "partner", "agree"))
+            live = live.unionByName(big.select("class"))
+        if texts is None:  # at the roots: texts of every class that a later comparison can need
+            texts = _texts(d, rows, live.distinct())
+        if depth == 0 or big is not None:
+            best = best.groupBy("class").agg(F.max(F.struct("agree", "partner")).alias("m")).select(F.least("class", "m.partner").alias("a"), F.greatest("class", "m.partner").alias("b"))
+            pairs = best.distinct().select(F.xxhash64("a", "b").alias("gid"), F.explode(F.array("a", "b")).alias("class"))
+            comp = _confirm(pairs, comp, texts, pct, width)
+        comp = _confirm(groups.select("gid", "class"), comp, texts, pct, width)
+        if big is None:
+            level = None
+            continue
         if depth >= sized and depth % DEPTH == 0 and (depth // DEPTH).bit_count() == 1:
-            deep.setdefault(depth, []).append(big.select("class", "sig"))
+            deep.setdefault(depth, []).append(big.select("class", "sig", "size"))
         # two generations at a time
         depth += 2
-        grown = big.mapInArrow(_children(threshold), ENTRY).mapInArrow(_children(threshold), ENTRY)
-        grown = written(grown, "children")
-        level = _shared(grown)
+        level = _shared(written(big.select("node", "class", "sig", "size").mapInArrow(_children(threshold, 2), ENTRY), "children"))
     ids = classes.select("class", "first_id").join(comp.withColumnRenamed("member", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     low = ids.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     of = ids.join(low, "comp").select("class", "component_id")
@@ -368,34 +508,29 @@ def _texts(d: DataFrame, rows: DataFrame, live: DataFrame) -> DataFrame:
     return written(got.dropDuplicates(["class"]), "texts")
 
 
-def _confirm(pairs: DataFrame, comp: DataFrame, texts: DataFrame, pct: int, width: int, first: bool) -> DataFrame:
-    """``comp`` (member, comp) with the confirmed links of ``pairs`` taken in.
+def _with_probes(members: DataFrame, probes: DataFrame) -> DataFrame:
+    """The rows of ``members`` with the probes (node, class, sig, comp, size) of their node, as arrays; a node has few."""
+    p = probes.groupBy("node").agg(F.collect_list(F.struct("class", "sig", "comp", "size")).alias("p")).select(
+        "node", F.col("p.class").alias("probes"), F.col("p.sig").alias("probe_sigs"), F.col("p.comp").alias("probe_comps"), F.col("p.size").alias("probe_sizes"))
+    return members.join(p, "node").drop("node")
+
+
+def _confirm(groups: DataFrame, comp: DataFrame, texts: DataFrame, pct: int, width: int) -> DataFrame:
+    """``comp`` (member, comp) with the links within ``groups`` (gid, class) taken in.
 
-    At the roots, where groups are tied together, every class first tries its
-    partner of smallest hash (one link a member is enough); then, and at later
-    levels at once, every pair that still joins two components is confirmed.
-    Links are contracted to links between components before they are merged.
+    Groups that are in one component by now are left out. The texts of the
+    others' members meet in one task for each group, which names links between
+    components, and these are merged.
     """
-    a, b = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
-
-    def across(p: DataFrame, comp: DataFrame) -> DataFrame:
-        one, two = comp.select(F.col("member").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("member").alias("b"), F.col("comp").alias("cb"))
-        named = p.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        return named.filter("ca <> cb")
-
-    def merged(p: DataFrame, comp: DataFrame) -> DataFrame:
-        links = p.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked(pct, width), "a binary, b binary")
-        links = written(across(links, comp).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
-        moved = components(links).select(F.col("member").alias("old"), F.col("comp").alias("new"))
-        kept = comp.join(moved, comp["comp"] == moved["old"], "left").select("member", F.coalesce("new", "comp").alias("comp"))
-        fresh = moved.join(comp, moved["old"] == comp["member"], "left_anti").select(F.col("old").alias("member"), F.col("new").alias("comp"))
-        return written(kept.unionByName(fresh), "comp")
-
-    todo = written(across(pairs, comp).select("a", "b"), "open")
-    if first:
-        sides = todo.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(todo.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        best = sides.groupBy("x").agg(F.min(F.struct(F.xxhash64("y").alias("o"), "y")).alias("m")).select("x", F.col("m.y").alias("y"))
-        partner = written(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "partners")
-        comp = merged(partner, comp)
-        todo = written(across(todo.join(partner, ["a", "b"], "left_anti"), comp).select("a", "b"), "open")
-    return merged(todo, comp) if todo.take(1) else comp
+    named = groups.join(comp.withColumnRenamed("member", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    own = Window.partitionBy("gid")  # a group has SMALL members at most
+    named = named.withColumn("x", F.min("comp").over(own)).withColumn("y", F.max("comp").over(own))
+    open_ = written(named.filter("x <> y").select("gid", "class", "comp"), "open")
+    held = open_.join(texts, "class").select("gid", "class", "comp", "text").repartition("gid").sortWithinPartitions("gid")
+    links = written(held.mapInArrow(_linked(pct, width), "a binary, b binary"), "links")
+    if not links.take(1):
+        return comp
+    moved = components(links).select(F.col("member").alias("old"), F.col("comp").alias("new"))
+    kept = comp.join(moved, comp["comp"] == moved["old"], "left").select("member", F.coalesce("new", "comp").alias("comp"))
+    fresh = moved.join(comp, moved["old"] == comp["member"], "left_anti").select(F.col("old").alias("member"), F.col("new").alias("comp"))
+    return written(kept.unionByName(fresh), "comp")
