@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerfold.llm.common import slices
+from ledgerfold.llm.common import lean, slices
 
 REMEMBERED, LONGEST_REMEMBERED = 250_000, 64
 
@@ -235,7 +235,7 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, make)
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names[:-1]), step(part.column(source))], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerfold.llm.common import U64, WordHash, mix, shingles, slices
+from ledgerfold.llm.common import U64, WordHash, lean, mix, shingles, slices
 
 WIDTH, THRESHOLD = 5, 0.75
 LANES, RADIUS = 4, 63  # 256 bits; RADIUS // 16 = 3
@@ -174,4 +174,4 @@ def _one_block(docs: DataFrame, held, text_col: str, threshold: float) -> DataFr
                     made.append(sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"] or 0)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:-1]), pa.array(made, arrow)], names=names)
 
-    return docs.mapInArrow(run, T.StructType(schema.fields))
+    return docs.mapInArrow(lean(run), T.StructType(schema.fields))

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import MASK64, U64, WordHash, distinct, docs_view, map_rows, mix, shingles, signed, slices, written
+from ledgerfold.llm.common import MASK64, U64, WordHash, distinct, docs_view, lean, map_rows, mix, shingles, signed, slices, written
 
 COORDINATES = 128
 ENTRY = "node long, class binary, sig binary, size int"
@@ -60,6 +60,7 @@ WIDTH, THRESHOLD, RECALL = 5, 0.75, 0.9999
 FEW = 32  # a node with no more members outside its largest component is compared exhaustively
 SMALL = 2048  # and so is a node with no more members
 MOST_HELD = 4_000_000  # shingles (32 MB) of a node that is compared exhaustively, unless it has FEW members at most
+MET_AT_ONCE = 1 << 18  # owners of shingles that are looked up together, some 10 MB
 PIVOTS = 8
 MOST_TIED = 200_000  # links that one task ties together, about 60 MB; more take rounds over all tasks
 DEPTH = 4  # generations that the first trees are sized for
@@ -299,6 +300,20 @@ def _plausible(least: int):
     return run
 
 
+def _shared_with(owner: np.ndarray, low: np.ndarray, high: np.ndarray, n_sets: int) -> np.ndarray:
+    """How often each set is the owner in the spans low .. high; about MET_AT_ONCE owners are looked up together."""
+    n, both, first = high - low, np.zeros(n_sets, dtype=np.int64), 0
+    upto = np.cumsum(n)
+    while first < len(n):
+        done = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, done + MET_AT_ONCE, "right")))
+        m = n[first:last]
+        at = np.repeat(low[first:last] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        both += np.bincount(owner[at], minlength=n_sets)
+        first = last
+    return both
+
+
 def _linked(threshold_pct: int, width: int):
     """Rows of groups' members with their texts, sorted by group -> links between components, by whole sets; no more of
     them than it takes to tie together what the group ties together."""
@@ -310,12 +325,12 @@ def _linked(threshold_pct: int, width: int):
         size = np.array([len(x) for x in sets])
         values = np.concatenate(sets)
         order = np.argsort(values, kind="stable")
-        values, owner = values[order], np.repeat(np.arange(len(sets)), size)[order]
+        values, owner = values[order], np.repeat(np.arange(len(sets), dtype=np.int32), size)[order]
+        del order
         root, out = np.arange(len(names)), []
         for x in np.flatnonzero(comp != np.bincount(comp).argmax()).tolist():  # members of the largest component meet all others
             low, high = np.searchsorted(values, sets[x], "left"), np.searchsorted(values, sets[x], "right")
-            n = high - low
-            both = np.bincount(owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+            both = _shared_with(owner, low, high, len(sets))
             near = np.flatnonzero(100 * both >= threshold_pct * (size[x] + size - both))
             for c in np.unique(comp[near]).tolist():
                 if root[c] != root[comp[x]]:
@@ -446,10 +461,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nodes = written(nodes.select("node", kind.alias("kind"), F.col("most.comp").alias("main")), "nodes")
         kinds = {r["kind"] for r in nodes.select("kind").distinct().collect()}  # three at most
         small = placed.join(nodes.filter("kind = 'small'").select("node"), "node", "left_semi").select("node", "class", "sig", "comp")
-        groups = small.repartition("node").sortWithinPartitions("node", "class").mapInArrow(_plausible(least), GROUP)
+        groups = small.repartition("node").sortWithinPartitions("node", "class").mapInArrow(lean(_plausible(least)), GROUP)
         if "few" in kinds:  # of large nodes, the members (FEW at most) outside the main component go to all members
             outside = placed.join(nodes.filter("kind = 'few'").select("node", "main"), "node").filter("comp <> main")
-            groups = groups.unionByName(_with_probes(placed, outside).mapInArrow(_close(least), GROUP))
+            groups = groups.unionByName(_with_probes(placed, outside).mapInArrow(lean(_close(least)), GROUP))
         groups = written(groups.dropDuplicates(["gid", "class"]), "groups")
         best, live, big = groups.select("class", "partner", "agree"), groups.select("class"), None
         if "big" in kinds:  # of the others, some pivots go to all members, which try the one that agrees most
@@ -527,7 +542,7 @@ def _confirm(groups: DataFrame, comp: DataFrame, texts: DataFrame, pct: int, wid
     named = named.withColumn("x", F.min("comp").over(own)).withColumn("y", F.max("comp").over(own))
     open_ = written(named.filter("x <> y").select("gid", "class", "comp"), "open")
     held = open_.join(texts, "class").select("gid", "class", "comp", "text").repartition("gid").sortWithinPartitions("gid")
-    links = written(held.mapInArrow(_linked(pct, width), "a binary, b binary"), "links")
+    links = written(held.mapInArrow(lean(_linked(pct, width)), "a binary, b binary"), "links")
     if not links.take(1):
         return comp
     moved = components(links).select(F.col("member").alias("old"), F.col("comp").alias("new"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerfold.llm.common import docs_view, map_rows, slices
+from ledgerfold.llm.common import docs_view, lean, map_rows, slices
 
 FIT_DOCS, FIT_LINES = 4000, 400
 SYMBOLS = b"%$#&*|<>{}[]~^_=+@\\/"
@@ -278,7 +278,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", out_col:
                 made = [model.score(x) for x in part.column(text_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names[:-1]), pa.array(made, pa.float64())], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def untrained() -> Model:
